@@ -5,11 +5,15 @@ from __future__ import annotations
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .mixing import OP1_SQL, op1_mix_sources
 from .packing import op9_pack
+from .quality_rules import op6_quality_rules
+from .secrets import op7_secrets
 from .token_files import op5_token_files
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op5_token_files": op5_token_files,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_secrets": op7_secrets,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pack": op9_pack,
 }
