@@ -9,11 +9,13 @@ from .packing import op9_pack
 from .quality_classifier import op4_quality
 from .quality_rules import op6_quality_rules
 from .secrets import op7_secrets
+from .suffix_dedup import op3_repeats
 from .token_files import op5_token_files
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language": op2_language,
+    "op3_repeats": op3_repeats,
     "op4_quality": op4_quality,
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
