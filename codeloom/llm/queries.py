@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .jaccard_join import OP10_SQL, op10_jaccard
 from .language_id import op2_language
 from .mixing import OP1_SQL, op1_mix_sources
 from .packing import op9_pack
@@ -14,6 +15,7 @@ from .token_files import op5_token_files
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op10_jaccard": op10_jaccard,
     "op2_language": op2_language,
     "op3_repeats": op3_repeats,
     "op4_quality": op4_quality,
@@ -26,5 +28,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_mix_sources": OP1_SQL,
+    "op10_jaccard": OP10_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
