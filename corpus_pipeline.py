@@ -1,11 +1,68 @@
-"""Corpus pipeline: quality filter, exact dedup, near dedup, mixing, packing."""
+"""From raw documents to packed token sequences.
 
+Five stages, each over all rows that the one before kept: quality classifier
+(rejected documents go), exact dedup, near-duplicate join (the smallest
+identifier of each component stays), mixing of sources to target weights, and
+packing. The last stage returns boundary records, the others the columns of
+documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from codeloom.llm.common import documents
+from codeloom.llm.exact_dedup import exact_dedup
+from codeloom.llm.jaccard_join import jaccard_components
+from codeloom.llm.mixing import emit, mix_sources
+from codeloom.llm.packing import pack
+from codeloom.llm.quality_classifier import score_quality, train
+
+#: A trained classifier and a tokenizer have no SQL form; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts 1."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest identifier."""
+    return exact_dedup(docs).where("kept").select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates the document with the smallest identifier; documents
+    without an identifier stay."""
+    gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks for."""
+    return emit(mix_sources(docs)).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boundary records of the documents in sequences of 1024 ids."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram jaccard join", near_stage),
+    ("mixing sources", mixing_stage),
+    ("packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
