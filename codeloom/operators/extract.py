@@ -63,9 +63,13 @@ IMPORT_PATTERNS = {
 
 
 def file_lines(files: DataFrame) -> DataFrame:
-    """(path, lang, line, text, n_lines), one row for each line."""
+    """(path, lang, line, text, n_lines), one row for each line.
+
+    Exploded with nulls kept and dropped after, so that Catalyst does not split
+    every text a second time for a filter that it infers.
+    """
     rows = files.select("path", "lang", lines_of(F.col("content")).alias("all"))
-    return rows.select("path", "lang", F.size("all").alias("n_lines"), F.posexplode("all").alias("at", "text")).select("path", "lang", (F.col("at") + 1).alias("line"), "text", "n_lines")
+    return rows.select("path", "lang", F.size("all").alias("n_lines"), F.posexplode_outer("all").alias("at", "text")).where("text IS NOT NULL").select("path", "lang", (F.col("at") + 1).alias("line"), "text", "n_lines")
 
 
 def line_symbols(files: DataFrame) -> DataFrame:
@@ -101,7 +105,7 @@ def line_imports(files: DataFrame) -> DataFrame:
             several = F.flatten(F.transform(own, lambda x: F.transform(F.split(x["target"], ","), lambda t: F.struct(t.alias("target"), x["kind"].alias("kind")))))
             own = F.when(trimmed(F.col("text")).startswith("import "), several).otherwise(own)
         found = F.when(F.col("lang") == lang, own).otherwise(found)
-    rows = lines.select("path", "line", F.explode(found).alias("x"))
+    rows = lines.select("path", "line", F.explode_outer(found).alias("x"))
     target = trimmed(F.substring_index(trimmed(F.col("x.target")), " as ", 1))
     return rows.select(F.col("path").alias("file_path"), target.alias("target"), F.col("x.kind").alias("kind"), "line").where("target <> ''").distinct()
 

@@ -23,19 +23,17 @@ def _ranked(paths: list, rank: int = 0):
 _NONE = "array<struct<path: string, rank: int>>"
 
 
-def _script(source, raw):
-    stem = normalized_path(joined_path(parent_of(source), raw))
+def _script(stem):
     plain = ~F.substring_index(stem, "/", -1).rlike(r"^.+\.[^.]*$")
     more = _ranked([F.concat(stem, F.lit(f".{e}")) for e in _SCRIPT_ENDINGS] + [F.concat(stem, F.lit(f"/index.{e}")) for e in _SCRIPT_ENDINGS])
-    out = F.when(plain, F.concat(_ranked([stem]), more)).otherwise(_ranked([stem]))
-    return F.when(raw.startswith("./") | raw.startswith("../"), out)
+    return F.when(plain, F.concat(_ranked([stem]), more)).otherwise(_ranked([stem]))
 
 
-def _python_relative(source, raw):
+def _python_path(source, raw):
+    """The path that a relative module names, or null."""
     dots = F.length(F.regexp_extract(raw, r"^(\.*)", 1))
     module = F.replace(F.regexp_replace(raw, r"^\.+|\.+$", ""), F.lit("."), F.lit("/"))
-    stem = normalized_path(joined_path(parent_of(source), F.concat(F.repeat(F.lit("../"), dots - 1), module)))
-    return F.when((dots > 0) & (module != ""), _ranked([F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py"))]))
+    return F.when((dots > 0) & (module != ""), joined_path(parent_of(source), F.concat(F.repeat(F.lit("../"), dots - 1), module)))
 
 
 def _module_dir(source):
@@ -49,45 +47,54 @@ def _identity(base):
     return F.when(F.substring_index(base, "/", -1) == "src", _ranked(own + root)).otherwise(_ranked(own))
 
 
-def _rust(source, raw, kind):
-    """Module candidates ranked by how many segments they use; 0 is the fallback."""
-    raw = F.trim(raw)
-    segments = F.filter(F.split(F.regexp_replace(raw, "^(::)+", ""), "::"), lambda s: s != "")
-    first = F.get(segments, F.lit(0))
-    supers = F.aggregate(segments, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, s: F.when(a["on"] & (s == "super"), F.struct((a["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("on"))), lambda a: a["n"])
-    own = _module_dir(source)
-    crate = F.when(F.concat(F.lit("/"), source).contains("/src/"), F.regexp_extract(source, "^(.*/src|src)/", 1)).otherwise(F.lit(""))
-    parts = F.split(own, "/")
-    above = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - supers, F.lit(0))), "/")
-    base = F.when(first == "crate", crate).when(first == "super", above).otherwise(own)
-    used = F.when(first.isin("crate", "self"), 1).when(first == "super", supers).otherwise(0)
-    rest = F.slice(segments, used + 1, F.greatest(F.size(segments) - used, F.lit(0)))
-    fallback = F.when(first == "crate", _identity(crate)).when(first == "self", _ranked([source])).when(first == "super", _identity(above)).otherwise(F.array().cast(_NONE))
-    fallback = F.when((F.size(rest) == 1) & (F.get(rest, F.lit(0)) == "*"), F.array().cast(_NONE)).otherwise(fallback)
-
-    def module(n):
-        stem = normalized_path(joined_path(base, F.array_join(F.slice(rest, 1, n), "/")))
-        return F.array(F.struct(F.concat(stem, F.lit(".rs")).alias("path"), n.alias("rank")), F.struct(F.concat(stem, F.lit("/mod.rs")).alias("path"), n.alias("rank")))
-
-    used_path = F.when(F.size(rest) > 0, F.concat(F.flatten(F.transform(F.sequence(F.lit(1), F.size(rest)), module)), fallback)).otherwise(fallback)
-    stem = normalized_path(joined_path(own, raw))
-    declared = _ranked([F.concat(stem, F.lit(".rs")), F.concat(stem, F.lit("/mod.rs"))])
-    out = F.when(kind == "module", declared).when(F.size(segments) > 0, used_path)
-    return F.when((raw != "") & ~raw.startswith("std::") & ~raw.startswith("core::"), out)
+def _pairs(stem, rank):
+    return F.array(F.struct(F.concat(stem, F.lit(".rs")).alias("path"), rank.alias("rank")), F.struct(F.concat(stem, F.lit("/mod.rs")).alias("path"), rank.alias("rank")))
+
+
+def _with_proposals(seen: DataFrame) -> DataFrame:
+    """Adds __p, the paths an observation could mean, with ranks.
+
+    Rust ranks a path by how many segments it uses; 0 is the fallback. Steps are
+    columns of their own, so that no long expression is repeated in another.
+    """
+    source, raw, rust = F.col("file_path"), F.trim("target"), F.col("lang") == "rust"
+    script = F.col("lang").isin("typescript", "javascript") & (F.col("target").startswith("./") | F.col("target").startswith("../"))
+    relative = F.when(script, joined_path(parent_of(source), F.col("target"))).when(F.col("lang") == "python", _python_path(source, F.col("target")))
+    rows = seen.withColumns({"__rel": relative, "__own": F.when(rust, _module_dir(source)), "__seg": F.when(rust, F.filter(F.split(F.regexp_replace(raw, "^(::)+", ""), "::"), lambda s: s != ""))})
+    # how many leading segments are `super`
+    others = F.transform("__seg", lambda s: s != "super")
+    rows = rows.withColumns({"__stem": normalized_path(F.col("__rel")), "__first": F.get("__seg", F.lit(0)), "__super": F.when(F.array_contains(others, True), F.array_position(others, True) - 1).otherwise(F.size("__seg")).cast("int"), "__parts": F.split("__own", "/")})
+    rows = rows.withColumns({"__crate": F.when(F.concat(F.lit("/"), source).contains("/src/"), F.regexp_extract(source, "^(.*/src|src)/", 1)).otherwise(F.lit("")), "__above": F.array_join(F.slice("__parts", 1, F.greatest(F.size("__parts") - F.col("__super"), F.lit(0))), "/"), "__used": F.when(F.col("__first").isin("crate", "self"), 1).otherwise(F.col("__super"))})
+    first, none = F.col("__first"), F.array().cast(_NONE)
+    rows = rows.withColumns({"__base": F.when(first == "crate", F.col("__crate")).when(first == "super", F.col("__above")).otherwise(F.col("__own")), "__rest": F.slice("__seg", F.col("__used") + 1, F.greatest(F.size("__seg") - F.col("__used"), F.lit(0))), "__fall": F.when(first == "crate", _identity(F.col("__crate"))).when(first == "self", _ranked([source])).when(first == "super", _identity(F.col("__above"))).otherwise(none)})
+    rest = F.col("__rest")
+    stems = F.transform(F.when(F.size(rest) > 0, F.sequence(F.lit(1), F.size(rest))).otherwise(F.array().cast("array<int>")), lambda n: F.struct(normalized_path(joined_path(F.col("__base"), F.array_join(F.slice(rest, 1, n), "/"))).alias("stem"), n.alias("rank")))
+    rows = rows.withColumns({"__stems": stems, "__mod": normalized_path(joined_path(F.col("__own"), raw)), "__fall": F.when((F.size(rest) == 1) & (F.get(rest, F.lit(0)) == "*"), none).otherwise(F.col("__fall"))})
+    used = F.concat(F.flatten(F.transform("__stems", lambda x: _pairs(x["stem"], x["rank"]))), F.col("__fall"))
+    local = rust & (raw != "") & ~raw.startswith("std::") & ~raw.startswith("core::")
+    stem = F.col("__stem")
+    proposed = (
+        F.when(script, _script(stem))
+        .when(F.col("lang") == "python", _ranked([F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py"))]))
+        .when(local & (F.col("kind") == "module"), _pairs(F.col("__mod"), F.lit(0)))
+        .when(local & (F.size("__seg") > 0), used)
+    )
+    return rows.select(*seen.columns, proposed.alias("__p"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """The edges of all imports (file_path, target, kind, line) of `files` (path, lang)."""
-    seen = imports.join(files.select(F.col("path").alias("file_path"), "lang"), "file_path").withColumn("__id", F.xxhash64("file_path", "target", "kind", "line"))
-    source, raw = F.col("file_path"), F.col("target")
-    proposed = F.when(F.col("lang").isin("typescript", "javascript"), _script(source, raw)).when(F.col("lang") == "python", _python_relative(source, raw)).when(F.col("lang") == "rust", _rust(source, raw, F.col("kind")))
-    keys = ["file_path", "target", "kind", "line"]
-    paths = files.select("path")
-    direct = seen.select(*keys, F.explode(proposed).alias("p")).select(*keys, F.col("p.path").alias("path"), F.col("p.rank").alias("rank")).join(paths, "path", "left_semi")
+    """The edges of all imports (file_path, target, kind, line) of `files` (path, lang).
+
+    Proposals are exploded with nulls kept: the join drops them, and Catalyst
+    does not copy the long expressions into filters it infers.
+    """
+    seen = imports.join(files.select(F.col("path").alias("file_path"), "lang"), "file_path")
+    keys, raw, paths = ["file_path", "target", "kind", "line"], F.col("target"), files.select("path")
+    direct = _with_proposals(seen).select(*keys, F.explode_outer("__p").alias("p")).select(*keys, F.col("p.path").alias("path"), F.col("p.rank").alias("rank")).join(paths, "path", "left_semi")
     module = F.replace(F.regexp_replace(raw, r"\.+$", ""), F.lit("."), F.lit("/"))
-    absolute = seen.where((F.col("lang") == "python") & ~raw.startswith(".") & (module != "")).select(*keys, F.explode(F.array(F.concat(module, F.lit(".py")), F.concat(module, F.lit("/__init__.py")))).alias("suffix"))
+    absolute = seen.where((F.col("lang") == "python") & ~raw.startswith(".") & (module != "")).select(*keys, F.explode_outer(F.array(F.concat(module, F.lit(".py")), F.concat(module, F.lit("/__init__.py")))).alias("suffix"))
     parts = F.split("path", "/")
-    suffixes = paths.where("path LIKE '%.py'").select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("suffix"))
+    suffixes = paths.where("path LIKE '%.py'").select("path", F.explode_outer(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("suffix"))
     found = direct.unionByName(absolute.join(suffixes, "suffix").select(*keys, "path", F.lit(0).alias("rank")))
     # the longest module prefix that exists wins: the candidates of the greatest rank
     best = found.groupBy(*keys, "rank").agg(F.array_sort(F.collect_set("path")).alias("c")).groupBy(*keys).agg(F.max_by("c", "rank").alias("c"))
