@@ -59,7 +59,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Edges with a null end are ignored; an edge from a node to itself makes the
     node its own component.
     """
-    clean = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    clean = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL").distinct(), "cc-edges")
     nodes = clean.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     now = materialize(clean.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-start")
     nodes = materialize(nodes, "cc-nodes")

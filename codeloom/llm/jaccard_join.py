@@ -315,12 +315,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, lowest: int = LOWEST
     dealt = _in_blocks(keys.join(buckets, "key"), "key", "rep", "c", block)
     signed = dealt.join(heads.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep").select("key", "pair", "rep", "n", "bits")
     near = signed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_by_bitmaps, _EDGES)
-    candidates = materialize(connected_components(near.distinct()), "shingle-candidates")
+    candidates = materialize(connected_components(near), "shingle-candidates")
 
     counted = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("c")), "component")
-    texts = rows.join(_in_blocks(counted, "component", "node", "c", block), rows.doc_id == F.col("node")).select("component", "pair", "node", "text")
+    # merged at every size: a broadcast that small tables get would not last
+    texts = rows.hint("merge").join(_in_blocks(counted, "component", "node", "c", block), rows.doc_id == F.col("node")).select("component", "pair", "node", "text")
     links = texts.repartition("component", "pair").sortWithinPartitions("component", "pair").mapInArrow(_by_sets(words), _EDGES)
-    joined = connected_components(links.distinct())
+    joined = connected_components(links)
 
     named = classes.join(joined, classes.rep == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component"))
     slim = sets.select("doc_id", *same)
