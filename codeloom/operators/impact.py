@@ -37,12 +37,16 @@ def _directed(edges: DataFrame, reverse: bool, with_tests: bool) -> DataFrame:
 
 
 def _levels(pivots: DataFrame, ed: DataFrame, depth: int) -> DataFrame:
-    """(path, depth, pos) of every file seen in one direction, pivots at depth 0."""
+    """(path, depth, pos) of every file seen in one direction, pivots at depth 0.
+
+    Levels are kept, since each is read by the next and by the result; else the
+    plan would double with each.
+    """
     seen = pivots.select("path", F.lit(0).alias("depth"), F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"), F.col("ord").cast("int").alias("d"))).alias("pos"))
     frontier = seen
     for level in range(1, depth + 1):
         reached = frontier.join(ed, frontier.path == F.col("from")).select(F.col("to").alias("path"), F.concat("pos", F.array("step")).alias("pos"))
-        frontier = reached.groupBy("path").agg(F.min("pos").alias("pos")).join(seen.select("path"), "path", "left_anti").select("path", F.lit(level).alias("depth"), "pos")
+        frontier = reached.groupBy("path").agg(F.min("pos").alias("pos")).join(seen.select("path"), "path", "left_anti").select("path", F.lit(level).alias("depth"), "pos").persist()
         seen = seen.unionByName(frontier)
     return seen
 
@@ -56,18 +60,19 @@ def impact(edges: DataFrame, pivots: DataFrame, directions: set[str], depth: int
     depth, max_files, _ = bounded(depth, max_files)
     with_tests = include_tests and "test" in directions
     start = pivots.select("path", "ord", "score").orderBy("ord").limit(max_files)
+    start = start.persist()
     files = start.select("path")
     hits, omitted = [], []
     for reverse in (False, True):
         role = "dependent" if reverse else "dependency"
         if not (role in directions or (reverse and "test" in directions)):
             continue
-        ed = _directed(edges, reverse, with_tests)
+        ed = _directed(edges, reverse, with_tests).persist()
         seen = _levels(start, ed, depth)
         reportable = is_test_path(F.col("path")) | F.lit(role in directions)
         found = seen.where((F.col("depth") > 0) & reportable).join(files, "path", "left_anti")
         held = files.agg(F.count("*")).first()[0]
-        admitted = found.orderBy("depth", "pos").limit(max_files - held).select("path")
+        admitted = found.orderBy("depth", "pos").limit(max_files - held).select("path").persist()
         omitted.append(found.join(admitted, "path", "left_anti").select("path"))
         files = files.unionByName(admitted)
         reached = seen.where(F.col("depth") < depth).join(ed, seen.path == F.col("from")).select(F.col("to").alias("path"), (F.col("depth") + 1).alias("depth"), "e").where(reportable)
