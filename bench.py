@@ -9,8 +9,8 @@ import time
 from codeloom.plans import queries
 from codeloom.session import local_session, ship_package
 
-#: The five cases of the serving surface (status, capsule, impact, impact with a cap, skeleton), and what feeds them.
-NAMES = ("index_status", "capsule_budget_prefix", "impact_depth2", "impact_capped", "full_skeleton", "bm25_rank_top80", "resolve_relative", "boundary_violations")
+#: The cases of the serving surface (status, capsule, impact, skeleton), and what feeds them.
+NAMES = ("index_status", "capsule_budget_prefix", "impact_depth2", "full_skeleton", "bm25_rank_top80", "resolve_relative", "boundary_violations")
 
 
 def main() -> None:
