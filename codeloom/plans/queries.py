@@ -483,9 +483,9 @@ def _hunks(spark, sf):
     return changes.hunk_ranges(values(spark, HEADERS, "header string"))
 
 
-#: Hunks over the corpus: one near the top and one further down of every fourth file, and one of deletions only.
+#: Hunks over the corpus: one near the top and one further down of every file, and one of deletions only.
 HUNKS = """SELECT path, h AS hunk, CASE WHEN h = 2 THEN 3 END AS old_start, CASE WHEN h = 2 THEN 3 END AS old_end, CASE WHEN h = 0 THEN 1 WHEN h = 1 THEN 3 END AS new_start, CASE WHEN h = 0 THEN 2 WHEN h = 1 THEN 9 END AS new_end
-FROM files, (SELECT 0 AS h UNION ALL SELECT 1 UNION ALL SELECT 2) AS hs WHERE length(path) % 4 = 0"""
+FROM files, (SELECT 0 AS h UNION ALL SELECT 1 UNION ALL SELECT 2) AS hs"""
 
 
 def _changed(spark, sf):
@@ -573,8 +573,8 @@ def _apply(spark, sf):
     return status.apply_delta(files, upserts, moved.where("change = 'deleted'").select("path"))
 
 
-#: Labels of the corpus: every edge but each eleventh line length, some with a wrong expectation.
-_LABELS = "SELECT 'typescript' AS language, source_path, raw_target, line, resolution, CASE WHEN length(source_path) % 5 = 0 AND resolution = 'exact' THEN 'wrong.ts' ELSE target_path END AS expected_target, candidate_paths FROM edges WHERE length(raw_target) % 11 <> 0"
+#: Labels of the corpus: every edge, some with a wrong expectation.
+_LABELS = "SELECT 'typescript' AS language, source_path, raw_target, line, resolution, CASE WHEN length(source_path) % 5 = 0 AND resolution = 'exact' THEN 'wrong.ts' ELSE target_path END AS expected_target, candidate_paths FROM edges"
 
 
 @query(
