@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 #: Documents as files of plain text; the same SQL for both engines.
 TEXT_FILES = """SELECT concat('src/m', doc_id % 20, '/doc_', doc_id, '.md') AS path, 'markdown' AS lang, text AS content, '' AS symbols FROM documents"""
 
-#: A synthetic code corpus: two imports and a function before each text, twins that make imports ambiguous, and tests.
+#: A synthetic corpus of scripts: two imports and a function before each text, twins that make imports ambiguous, and tests.
 CODE_FILES = """
-SELECT concat('src/m', doc_id % 20, '/doc_', doc_id, CASE doc_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '.py' END) AS path,
-       CASE doc_id % 3 WHEN 0 THEN 'typescript' WHEN 1 THEN 'javascript' ELSE 'python' END AS lang,
+SELECT concat('src/m', doc_id % 20, '/doc_', doc_id, CASE doc_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '.tsx' END) AS path,
+       CASE doc_id % 3 WHEN 0 THEN 'typescript' WHEN 1 THEN 'javascript' ELSE 'typescript' END AS lang,
        concat('import a from ''./doc_', doc_id + 20, '''', chr(10), 'import b from ''../m', (doc_id + 7) % 20, '/doc_', doc_id + 7, '''', chr(10),
               'export function f_', doc_id, '() {}', chr(10), text) AS content
 FROM documents

@@ -75,20 +75,15 @@ edges AS (SELECT i.file_path AS source_path, i.target AS raw_target, CASE WHEN l
   CASE WHEN len(cs) > 1 THEN cs ELSE [] END AS candidate_paths
   FROM imports i LEFT JOIN cand c ON i.file_path = c.file_path AND i.target = c.target AND i.kind = c.kind AND i.line = c.line)"""
 )
-NO_PY = "lang <> 'python'"
-
-
-def scripts(spark: SparkSession, sf: str) -> DataFrame:
-    return code_files(spark, sf)
 
 
 def script_imports(spark: SparkSession, sf: str) -> DataFrame:
-    return line_imports(code_files(spark, sf).where(NO_PY))
+    return line_imports(code_files(spark, sf))
 
 
 def script_edges(spark: SparkSession, sf: str) -> DataFrame:
     files = code_files(spark, sf)
-    return resolve.resolve_imports(line_imports(files.where(NO_PY)), files.select("path", "lang"))
+    return resolve.resolve_imports(line_imports(files), files.select("path", "lang"))
 
 
 # --- functions over paths and text -------------------------------------------------
@@ -163,12 +158,12 @@ _SYMBOL_COLUMNS = "file_path, name, kind, line, end_line, range_evidence, signat
 
 @query("regex_symbols", f"WITH {SYMBOLS} SELECT file_path, name, kind, line, range_evidence, signature FROM symbols")
 def _symbols(spark, sf):
-    return line_symbols(code_files(spark, sf).where(NO_PY)).drop("end_line")
+    return line_symbols(code_files(spark, sf)).drop("end_line")
 
 
 @query("symbol_ranges", f"WITH {SYMBOLS} SELECT file_path, name, line, end_line FROM symbols")
 def _ranges(spark, sf):
-    return line_symbols(code_files(spark, sf).where(NO_PY)).select("file_path", "name", "line", "end_line")
+    return line_symbols(code_files(spark, sf)).select("file_path", "name", "line", "end_line")
 
 
 @query("regex_imports", f"WITH {IMPORTS} SELECT file_path, target, kind, line FROM imports")
@@ -344,7 +339,7 @@ r AS (SELECT f.path, {_SCAN} AS score FROM files f LEFT JOIN s ON s.file_path =
 )
 def _scan(spark, sf):
     files = code_files(spark, sf)
-    return rank.scan_rank(files, line_symbols(files.where(NO_PY)), line_imports(files.where(NO_PY)), "doc_1 twin").select("path", F.round("score", 6).alias("score"))
+    return rank.scan_rank(files, line_symbols(files), line_imports(files), "doc_1 twin").select("path", F.round("score", 6).alias("score"))
 
 
 # --- capsules ---------------------------------------------------------------------
@@ -399,7 +394,7 @@ FROM files f LEFT JOIN s ON s.file_path = f.path LEFT JOIN i ON i.file_path = f.
 )
 def _compact(spark, sf):
     files = code_files(spark, sf)
-    return capsule.compact_skeletons(files, line_symbols(files.where(NO_PY)), line_imports(files.where(NO_PY)))
+    return capsule.compact_skeletons(files, line_symbols(files), line_imports(files))
 
 
 @query(
@@ -410,7 +405,7 @@ FROM files f LEFT JOIN s ON s.file_path = f.path LEFT JOIN i ON i.file_path = f.
 )
 def _full(spark, sf):
     files = code_files(spark, sf)
-    return capsule.skeletons(files, line_symbols(files.where(NO_PY)), line_imports(files.where(NO_PY)))
+    return capsule.skeletons(files, line_symbols(files), line_imports(files))
 
 
 # --- impact -----------------------------------------------------------------------
@@ -491,7 +486,7 @@ FROM files, (SELECT 0 AS h UNION ALL SELECT 1 UNION ALL SELECT 2) AS hs"""
 def _changed(spark, sf):
     files = code_files(spark, sf)
     hunks = over(HUNKS, "files", files)
-    ranges = changes.symbol_ranges(files, line_symbols(files.where(NO_PY)))
+    ranges = changes.symbol_ranges(files, line_symbols(files))
     return files, hunks, changes.hunk_overlaps(hunks, ranges)
 
 
@@ -545,8 +540,8 @@ def _counts(spark, sf):
 @query("index_status", f"WITH {EDGES}, {SYMBOLS[len(LINES) + 2 :]} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM imports) AS imports, count(*) FILTER (WHERE resolution = 'exact') AS exact_edges, count(*) FILTER (WHERE resolution = 'ambiguous') AS ambiguous_edges, count(*) FILTER (WHERE resolution = 'unresolved') AS unresolved_edges FROM edges")
 def _status(spark, sf):
     files = code_files(spark, sf)
-    found = line_imports(files.where(NO_PY))
-    return status.status(files, line_symbols(files.where(NO_PY)), found, resolve.resolve_imports(found, files.select("path", "lang")))
+    found = line_imports(files)
+    return status.status(files, line_symbols(files), found, resolve.resolve_imports(found, files.select("path", "lang")))
 
 
 @query("index_fingerprint", f"WITH {FILES} SELECT 'sha256:' || sha256('4' || chr(0) || string_agg(path || chr(0) || sha256(content) || chr(0), '' ORDER BY path)) AS fingerprint FROM files")

@@ -50,3 +50,11 @@ def test_file_without_hunks_is_module_level(spark):
     hunks = spark.createDataFrame([("a.ts", 0)], "path string, hunk int")
     rows = changes.changed_file_flags(listed, hunks, hunks, files).collect()
     assert {r.path: r.module_level for r in rows} == {"a.ts": False, "b.ts": True}
+
+
+def test_every_document_is_extracted(spark):
+    paths = {r.path for r in code_files(spark, SF).select("path").collect()}
+    assert {r.file_path for r in Q.QUERIES["regex_symbols"](spark, SF).select("file_path").collect()} == paths
+    assert {r.file_path for r in Q.QUERIES["regex_imports"](spark, SF).select("file_path").collect()} == {p for p in paths if not p.endswith("/index.ts")}
+    for name in ("index_status", "reverse_deps"):
+        same(Q.QUERIES[name](spark, SF), Q.ORACLES[name])
