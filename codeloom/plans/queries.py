@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import capsule, changes, impact, policy, rank, resolve, status, syntax
 from ..operators.extract import distinct_targets, line_imports, line_symbols, without_prefixes
-from .corpus import CODE_FILES, TEXT_FILES, code_files, over, text_files, values, values_sql
+from .corpus import CODE_FILES, TEXT_FILES, code_files, over, python_files, rust_files, text_files, values, values_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -187,31 +187,31 @@ def _suppressed(spark, sf):
     return without_prefixes(values(spark, RAW_IMPORTS, "file_path string, target string, kind string, line int"))
 
 
-PY = "import os, a.b as c\nfrom . import x\nfrom ..pkg import (\n  y)\nfrom __future__ import annotations\n@deco\nclass K:\n    async def m(self):\n        pass\n\ndef f():\n    return 1\n"
+# Syntax has no SQL in the other engine; brute-force tests are in tests/test_whole_tables.py.
 
 
 @query("python_symbols_ast")
 def _ast(spark, sf):
-    return syntax.extract_symbols(values(spark, [("p.py", "python", PY), ("broken.py", "python", "def f(:\nclass Q:\n")], "path string, lang string, content string"))
+    return syntax.extract_symbols(python_files(spark, sf))
 
 
 @query("python_imports_ast")
 def _ast_imports(spark, sf):
-    return syntax.extract_imports(values(spark, [("p.py", "python", PY)], "path string, lang string, content string"))
+    return syntax.extract_imports(python_files(spark, sf))
 
 
-RS = 'pub struct A { x: i32 }\nimpl<T> Show for A {\n    fn go(&self) -> &\'static str { "}" }\n}\nmod inner;\npub use crate::x::Y;\nuse std::fs;\n'
-JS = "import {\n  a } from './a'\nconst r = require('./r')\nclass K {\n  run(x) { return `}` }\n}\nexport const go = async (x) => {\n  return 1\n}\n"
+def _brace_files(spark, sf):
+    return code_files(spark, sf).drop("hash").unionByName(rust_files(spark, sf))
 
 
 @query("brace_language_symbols")
 def _braces(spark, sf):
-    return syntax.extract_symbols(values(spark, [("a.rs", "rust", RS), ("a.ts", "typescript", JS)], "path string, lang string, content string"))
+    return syntax.extract_symbols(_brace_files(spark, sf))
 
 
 @query("brace_language_imports")
 def _brace_imports(spark, sf):
-    return syntax.extract_imports(values(spark, [("a.rs", "rust", RS), ("a.ts", "typescript", JS)], "path string, lang string, content string"))
+    return syntax.extract_imports(_brace_files(spark, sf))
 
 
 # --- resolution -------------------------------------------------------------------
@@ -272,6 +272,20 @@ def _longest(spark, sf):
     return resolve.resolve_imports(values(spark, [c[:4] for c in RS_CASES], "file_path string, target string, kind string, line int"), values(spark, RS_FILES, "path string, lang string")).drop("resolver")
 
 
+@query("python_edges")
+def _python_edges(spark, sf):
+    """The Python resolver over all files of the corpus; brute-force test as above."""
+    files = python_files(spark, sf)
+    return resolve.resolve_imports(syntax.extract_imports(files), files.select("path", "lang"))
+
+
+@query("rust_edges")
+def _rust_edges(spark, sf):
+    """The Rust resolver over all files of the corpus; brute-force test as above."""
+    files = rust_files(spark, sf)
+    return resolve.resolve_imports(syntax.extract_imports(files), files.select("path", "lang"))
+
+
 @query("forward_deps", f"WITH {EDGES} SELECT DISTINCT source_path AS path, target_path AS neighbour FROM edges WHERE resolution = 'exact'")
 def _forward(spark, sf):
     return resolve.neighbours(script_edges(spark, sf))
