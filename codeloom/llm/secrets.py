@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and strings that a tokenizer finds hard.
 
 Random strings fall apart into short tokens. Runs of credential characters whose
-characters for each token stay low are reported, after digests of known lengths
-and identifiers are set aside.
+characters for each token stay low are reported, and so are their parts between
+marks, since the words around a string must not hide it. Digests of known
+lengths and UUIDs are set aside; a name is judged by its parts alone.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from .common import documents
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PIECE = re.compile(r"[A-Za-z0-9+_-]{16,}")
+SEGMENT = re.compile(r"[A-Za-z0-9]{16,}")
 #: Kinds in the order of the contract; the method's own kind comes last.
 KINDS = ("assign", "access", "hex", "dense")
 #: Hex lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 digests.
@@ -48,9 +51,33 @@ def vocabulary(path: str):
     return _vocabularies[path]
 
 
-def is_known(run: str) -> bool:
-    """A digest of a known length, a UUID or a name, not a secret by itself."""
-    return bool(HEXADECIMAL.match(run) and len(run) in DIGEST_LENGTHS or UUID.match(run) or NAME.match(run))
+def is_digest(run: str) -> bool:
+    """A digest of a known length or a UUID, not a secret by itself."""
+    return bool(HEXADECIMAL.match(run) and len(run) in DIGEST_LENGTHS or UUID.match(run))
+
+
+def dense_in(run: str, coder, most: float, free) -> list[tuple[int, int]]:
+    """(start, end) of what is hard in a run: all of it, else pieces between `=`
+    and `/`, else segments of letters and digits. A name is never hard as a
+    whole, a number never; `free` tells whether a span may be reported."""
+
+    def hard(a: int, b: int) -> bool:
+        return b - a < most * len(coder.encode_ordinary(run[a:b]))
+
+    pieces = [m.span() for m in PIECE.finditer(run)]
+    if not any(is_digest(run[a:b]) for a, b in pieces) and free(0, len(run)) and not NAME.match(run) and hard(0, len(run)):
+        return [(0, len(run))]
+    out = []
+    for a, b in pieces:
+        if is_digest(run[a:b]):
+            continue
+        if free(a, b) and not NAME.match(run[a:b]) and hard(a, b):
+            out.append((a, b))
+            continue
+        for m in SEGMENT.finditer(run, a, b):
+            if not is_digest(m[0]) and not m[0].isdigit() and free(*m.span()) and hard(*m.span()):
+                out.append(m.span())
+    return out
 
 
 def spans_of(text: str, coder, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
@@ -60,10 +87,9 @@ def spans_of(text: str, coder, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted(found)
     for m in RUN.finditer(text):
-        if is_known(m[0]) or any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
-        if len(m[0]) < most * len(coder.encode_ordinary(m[0])):
-            found.append((m.start(), 3, m.end()))
+        at = m.start()
+        free = lambda a, b: not any(x < at + b and at + a < y for x, _, y in base)  # noqa: B023, E731
+        found += [(at + a, 3, at + b) for a, b in dense_in(m[0], coder, most, free)]
     return sorted(found)
 
 
