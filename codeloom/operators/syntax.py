@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +37,6 @@ class Source:
         self.ends = [m.start() for m in re.finditer("\n", text)]
 
     def line(self, at: int) -> int:
-        from bisect import bisect_left
-
         return bisect_left(self.ends, at) + 1
 
     def signature(self, line: int) -> str:
@@ -197,6 +196,33 @@ def symbols_of(lang: str, text: str) -> list[tuple] | None:
     return _script_symbols(Source(lang, text)) if lang in PARSED else None
 
 
+def _script_imports(source: Source) -> list[tuple]:
+    """Each `import` keyword with the module string of its own statement, however
+    far, and each `require` of one string."""
+    out, mask, strings = [], source.mask, source.strings
+    places = [at for at, _ in strings]
+    for m in re.finditer(r"(?<![.$])\bimport\b(?!\s*[.(])", mask):
+        begin, depth = m.end(), 0
+        for k in range(bisect_left(places, m.end()), len(strings)):
+            at, said = strings[k]
+            between = mask[begin:at]
+            if ";" in between:
+                break
+            depth += between.count("{") - between.count("}")
+            if begin == m.end() and not between.strip() or re.search(r"\bfrom\s*\Z", between):
+                out.append((said, "import", source.line(m.start())))
+                break
+            if depth < 1:  # only names in braces may be strings
+                break
+            begin = at + len(said) + 2
+    last = 0
+    for at, said in strings:
+        if re.search(r"\brequire\s*\(\s*\Z", mask[last:at]) and re.compile(r"\s*\)").match(mask, at + len(said) + 2):
+            out.append((said, "require", source.line(at)))
+        last = at
+    return out
+
+
 def imports_of(lang: str, text: str) -> list[tuple]:
     """(target, kind, line) from syntax."""
     out: list[tuple] = []
@@ -228,12 +254,7 @@ def imports_of(lang: str, text: str) -> list[tuple]:
                 out.append((said.removeprefix("use ").strip(), "use", source.line(m.start(1))))
     elif lang in ("typescript", "javascript"):
         source = Source(lang, text)
-        for at, said in source.strings:
-            before = source.mask[max(0, at - 2000) : at]
-            if m := re.search(r"\bimport\s+(?:[^;'\"]*?\bfrom\s*)?\Z", before):
-                out.append((said, "import", source.line(at - len(before) + m.start())))
-            elif re.search(r"\brequire\s*\(\s*\Z", before) and re.match(r"\s*\)", source.mask[at + len(said) + 2 :]):
-                out.append((said, "require", source.line(at)))
+        out += _script_imports(source)
     return sorted({x for x in out if x[0]})
 
 

@@ -108,3 +108,21 @@ def test_syntax_of_small_texts():
     assert set(syntax.imports_of("python", PY)) == {("os", "import", 1), ("a.b", "import", 1), (".", "import", 2), ("..pkg", "import", 3)}
     assert set(syntax.imports_of("rust", RS)) == {("inner", "module", 5), ("pub use crate::x::Y", "use", 6), ("std::fs", "use", 7)}
     assert set(syntax.imports_of("javascript", JS)) == {("./a", "import", 1), ("./r", "require", 3)}
+
+
+def test_long_script_imports():
+    names = "".join(f"  a_rather_long_name_{i},\n" for i in range(120))
+    for lang in ("javascript", "typescript"):
+        of = lambda text: set(syntax.imports_of(lang, text))  # noqa: B023, E731
+        assert of("import {\n" + names + "} from './x'\n") == {("./x", "import", 1)}
+        assert of("const z = 'q';\nimport a /* " + "long " * 1000 + "*/ from './y'\n") == {("./y", "import", 2)}
+        assert of("import a from './a'\nimport b from './b'\nimport './c'\nconst s = 'd'\n") == {("./a", "import", 1), ("./b", "import", 2), ("./c", "import", 3)}
+        assert of("import{a}from'./m';import'./n'\n") == {("./m", "import", 1), ("./n", "import", 1)}
+        assert of("import { 'x-y' as b, c } from './e'\n") == {("./e", "import", 1)}
+        assert of("const r = require(/* " + "long " * 1000 + "*/ './f')\nimport('./g')\nconst h = import.meta\n") == {("./f", "require", 1)}
+
+
+def test_script_imports_of_every_document(spark):
+    rows = Q.QUERIES["brace_language_imports"](spark, SF).where("file_path NOT LIKE 'rs/%'").collect()
+    want = Q.QUERIES["regex_imports"](spark, SF).collect()
+    assert sorted(map(tuple, rows)) == sorted((r.file_path, r.target, r.kind, r.line) for r in want)
