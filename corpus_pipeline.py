@@ -9,7 +9,8 @@ documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from codeloom.llm.common import documents
 from codeloom.llm.exact_dedup import exact_dedup
@@ -29,8 +30,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest identifier."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    """Of equal texts one row, with the smallest identifier; op8 keeps all rows
+    that repeat it or have none, so ties go by the other columns."""
+    first = Window.partitionBy("text_sha256").orderBy("doc_id", *(c for c in docs.columns if c != "doc_id"))
+    kept = exact_dedup(docs).where("kept").withColumn("__row", F.row_number().over(first))
+    return kept.where("__row = 1").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
