@@ -1,6 +1,6 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
-Preference pairs (a row of label 1 over a row of label 0) give a logistic loss
+All preference pairs (a row of label 1 over a row of label 0) give a logistic loss
 on feature differences; its weights score every document. A quantile of the
 training scores becomes the threshold, and the score in [0, 1] is a logistic of
 the distance to it.
@@ -20,7 +20,8 @@ from .common import documents
 
 #: At most so many labelled rows are fitted on, those first by a hash of their identifier.
 MAX_LABELLED = 20_000
-PAIRS = 40_000
+#: Pairs that are held at once; the sums go over all of them.
+PAIRS_AT_ONCE = 1 << 20
 #: The score at the threshold; the contract predicts 1 from here on.
 AT_THRESHOLD = 0.3
 FEATURES = 14
@@ -60,20 +61,28 @@ def _describe(batches):
         yield pa.record_batch([ids, pa.array(rows, pa.binary())], ["doc_id", "x"])
 
 
-def fit_ranking(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, seed: int = 5) -> dict:
-    """Weights of the pairwise logistic loss, and the threshold as a quantile."""
+def fit_ranking(x: np.ndarray, good: np.ndarray, ridge: float = 1e-3) -> dict:
+    """Weights of the logistic loss over all pairs, and the threshold as a quantile."""
     mean, spread = x.mean(axis=0), x.std(axis=0)
     spread[spread < 1e-9] = 1.0
     z = (x - mean) / spread
-    draw = np.random.default_rng(seed)
-    wins, losses = np.flatnonzero(good), np.flatnonzero(~good)
+    wins, losses = z[good], z[~good]
     w = np.zeros(z.shape[1])
     if len(wins) and len(losses):
-        d = z[draw.choice(wins, pairs)] - z[draw.choice(losses, pairs)]
-        for _ in range(30):  # Newton steps of sum log(1 + exp(-d.w))
-            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-            grad = -(d * p[:, None]).mean(axis=0) + ridge * w
-            hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
+        n, some = len(wins) * len(losses), max(1, PAIRS_AT_ONCE // len(losses))
+        for _ in range(30):  # Newton steps of sum log(1 + exp(-d.w)) for d = win - loss
+            grad, hess, over = np.zeros(len(w)), np.zeros((len(w), len(w))), np.zeros(len(losses))
+            lost = losses @ w
+            for i in range(0, len(wins), some):
+                a = wins[i : i + some]
+                p = 1 / (1 + np.exp(np.clip((a @ w)[:, None] - lost, -30, 30)))
+                grad -= p.sum(axis=1) @ a - p.sum(axis=0) @ losses
+                p *= 1 - p
+                cross = a.T @ (p @ losses)
+                hess += (a * p.sum(axis=1)[:, None]).T @ a - cross - cross.T
+                over += p.sum(axis=0)
+            grad = grad / n + ridge * w
+            hess = (hess + (losses * over[:, None]).T @ losses) / n + ridge * np.eye(len(w))
             step = np.linalg.solve(hess, grad)
             w -= step
             if np.abs(step).max() < 1e-7:
