@@ -350,9 +350,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
 
     Every byte goes that a string of `length` bytes covers which also begins
     anywhere else, in another document or the same one, overlaps included, all
-    judged on the input. A null text is empty; doc_id must tell the rows apart
-    (rows that repeat one are told apart by their text, and whole repeated rows
-    by nothing: they count as one place); texts shorter than `length` keep all
+    judged on the input. A null text is empty. doc_id must tell different texts
+    apart: the spans of all texts under one doc_id are removed from each of
+    them, whether they repeat there or not. Whole repeated rows are right: each
+    is a place of its own, so all their bytes repeat. Texts shorter than `length` keep all
     bytes; an empty table gives no row; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
