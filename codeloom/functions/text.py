@@ -12,7 +12,7 @@ from ..schemas import LANGUAGES, SKIPPED_DIR_PREFIXES, SKIPPED_DIRS, SKIPPED_END
 
 def language_of(path: Column) -> Column:
     """The language of a path by its extension; dotfiles have none."""
-    extension = F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)
+    extension = F.regexp_extract(path, r"[^/]\.([^./]+)\z", 1)
     out = F.lit("unknown")
     for lang, endings in LANGUAGES.items():
         out = F.when(extension.isin(*endings), F.lit(lang)).otherwise(out)
@@ -25,7 +25,7 @@ def is_excluded(path: Column) -> Column:
     parts = F.split(low, "/")
     inside = F.exists(parts, lambda p: p.isin(*SKIPPED_DIRS) | F.substring(p, 1, 5).isin(*[x for x in SKIPPED_DIR_PREFIXES if len(x) == 5]) | F.substring(p, 1, 6).isin(*[x for x in SKIPPED_DIR_PREFIXES if len(x) == 6]))
     worktrees = F.concat(F.lit("/"), low, F.lit("/")).contains("/.claude/worktrees/")
-    ending = low.rlike("(" + "|".join(re.escape(x) for x in SKIPPED_ENDINGS) + ")$")
+    ending = low.rlike("(" + "|".join(re.escape(x) for x in SKIPPED_ENDINGS) + r")\z")
     return inside | worktrees | (F.substring_index(path, "/", 1) == "personal") | ending
 
 
@@ -41,14 +41,14 @@ def relative_path(path: Column, root: str) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines without their ends; a last empty piece is none."""
-    pieces = F.split(text, "\n")
-    kept = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
-    return F.transform(kept, lambda x: F.regexp_replace(x, "\r$", ""))
+    body = F.when(text.endswith("\r"), F.left(text, F.length(text) - 1)).otherwise(text)
+    pieces = F.split(body, "\r?\n")
+    return F.when((text == "") | text.endswith("\n"), F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
 
 
 def trimmed(text: Column) -> Column:
     """Without white space at both ends, by Unicode's meaning of it."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -67,7 +67,7 @@ def normalized_path(path: Column) -> Column:
 
 
 def parent_of(path: Column) -> Column:
-    return F.regexp_replace(path, "(^|/)[^/]*$", "")
+    return F.regexp_replace(path, r"(^|/)[^/]*\z", "")
 
 
 def joined_path(base: Column, name: Column) -> Column:
@@ -76,7 +76,7 @@ def joined_path(base: Column, name: Column) -> Column:
 
 def stem_of(path: Column) -> Column:
     """The file name without its extension."""
-    return F.regexp_replace(F.substring_index(path, "/", -1), r"(.)\.[^.]*$", "$1")
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"(.)\.[^.]*\z", "$1")
 
 
 def query_terms(query: str) -> list[str]:

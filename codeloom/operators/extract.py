@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines_of, trimmed
 
+# What a name looks like, and what a line must look like to declare a
+# symbol, by language; the first match of a line wins.
 _NAME = "[A-Za-z_][A-Za-z0-9_]*"
 _JS = "[A-Za-z_$][A-Za-z0-9_$]*"
 _JAVA_LIKE = (
@@ -26,7 +28,6 @@ _SCRIPT = (
     (r"^\s*(?:export\s+)?type\s+(" + _JS + ")", "type"),
 )
 
-# What a line must look like to declare a symbol; the first match of a line wins.
 SYMBOL_PATTERNS = {
     "rust": (
         (r"^\s*(?:pub\s+)?(?:async\s+)?fn\s+(" + _NAME + ")", "function"),
@@ -62,6 +63,31 @@ IMPORT_PATTERNS = {
 }
 
 
+#: What any line that matches a pattern of its language holds, to be looked for first.
+_SYMBOL_MARKS = {
+    "rust": ("fn", "struct", "enum", "trait", "impl"),
+    **dict.fromkeys(("typescript", "javascript"), ("function", "const", "let", "var", "class", "interface", "type")),
+    "python": ("def", "class"),
+    "go": ("func", "type"),
+    "ruby": ("def", "class", "module"),
+    **dict.fromkeys(("java", "csharp", "kotlin", "swift", "cpp", "c"), ("(", "class", "struct", "enum", "interface")),
+}
+_IMPORT_MARKS = {"rust": ("use", "mod"), **dict.fromkeys(("typescript", "javascript"), ("import", "require(")), "python": ("import",), "go": ('"',)}
+
+
+def _marked(marks: dict[str, tuple[str, ...]]):
+    """Whether a line holds one of the marks of its language."""
+    held, by = F.lit(False), {}
+    for lang, own in marks.items():
+        by.setdefault(own, []).append(lang)
+    for own, langs in by.items():
+        some = F.lit(False)
+        for mark in own:
+            some = some | F.col("text").contains(mark)
+        held = held | (F.col("lang").isin(*langs) & some)
+    return held
+
+
 def file_lines(files: DataFrame) -> DataFrame:
     """(path, lang, line, text, n_lines), one row for each line.
 
@@ -74,7 +100,7 @@ def file_lines(files: DataFrame) -> DataFrame:
 
 def line_symbols(files: DataFrame) -> DataFrame:
     """Symbols by line patterns, each up to the line before the next one."""
-    lines = file_lines(files.where(F.col("lang").isin(*SYMBOL_PATTERNS)))
+    lines = file_lines(files.where(F.col("lang").isin(*SYMBOL_PATTERNS))).where(_marked(_SYMBOL_MARKS))
     kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
     for lang, patterns in SYMBOL_PATTERNS.items():
         for pattern, label in reversed(patterns):
@@ -91,7 +117,7 @@ def line_symbols(files: DataFrame) -> DataFrame:
 
 def line_imports(files: DataFrame) -> DataFrame:
     """Distinct imports by line patterns."""
-    lines = file_lines(files.where(F.col("lang").isin(*IMPORT_PATTERNS)))
+    lines = file_lines(files.where(F.col("lang").isin(*IMPORT_PATTERNS))).where(_marked(_IMPORT_MARKS))
     none = F.array().cast("array<struct<target: string, kind: string>>")
     found = none
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_test_path
+from ..shared import materialize
 
 ROLES = ("pivot", "dependency", "dependent", "test")
 OBSERVATIONS = 50
@@ -39,14 +40,17 @@ def _directed(edges: DataFrame, reverse: bool, with_tests: bool) -> DataFrame:
 def _levels(pivots: DataFrame, ed: DataFrame, depth: int) -> DataFrame:
     """(path, depth, pos) of every file seen in one direction, pivots at depth 0.
 
-    Levels are kept, since each is read by the next and by the result; else the
-    plan would double with each.
+    Each level is written once and read by the next and by the result, so a lost
+    executor costs one level; the search ends where a level is empty.
     """
-    seen = pivots.select("path", F.lit(0).alias("depth"), F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"), F.col("ord").cast("int").alias("d"))).alias("pos"))
-    frontier = seen
+    first = F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"), F.col("ord").cast("int").alias("d")))
+    seen = frontier = pivots.select("path", F.lit(0).alias("depth"), first.alias("pos"))
     for level in range(1, depth + 1):
         reached = frontier.join(ed, frontier.path == F.col("from")).select(F.col("to").alias("path"), F.concat("pos", F.array("step")).alias("pos"))
-        frontier = reached.groupBy("path").agg(F.min("pos").alias("pos")).join(seen.select("path"), "path", "left_anti").select("path", F.lit(level).alias("depth"), "pos").persist()
+        fresh = reached.groupBy("path").agg(F.min("pos").alias("pos")).join(seen.select("path"), "path", "left_anti").select("path", F.lit(level).alias("depth"), "pos")
+        frontier = materialize(fresh, f"impact-level-{level}")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -54,43 +58,48 @@ def _levels(pivots: DataFrame, ed: DataFrame, depth: int) -> DataFrame:
 def impact(edges: DataFrame, pivots: DataFrame, directions: set[str], depth: int, max_files: int, include_tests: bool) -> tuple[DataFrame, DataFrame]:
     """Files (path, roles, depth, score, evidence) and omitted paths (path).
 
-    `pivots` has path, ord (their order from 0) and score. Forward goes first; a
-    direction takes what the cap leaves.
+    `edges` is read by every level: hand over a table, not a long plan. `pivots`
+    has path, ord (their order from 0) and score. Forward goes first; a direction
+    takes what the cap leaves.
     """
     depth, max_files, _ = bounded(depth, max_files)
     with_tests = include_tests and "test" in directions
-    start = pivots.select("path", "ord", "score").orderBy("ord").limit(max_files)
-    start = start.persist()
-    files = start.select("path")
+    # at most 500 rows, known to the driver: no plan has to make them again
+    held = pivots.select("path", "ord", "score").orderBy("ord").limit(max_files).collect()
+    start = edges.sparkSession.createDataFrame([(r.path, int(r.ord), None if r.score is None else float(r.score)) for r in held], "path string, ord int, score double")
+    admitted = [r.path for r in held]
     hits, omitted = [], []
     for reverse in (False, True):
         role = "dependent" if reverse else "dependency"
         if not (role in directions or (reverse and "test" in directions)):
             continue
-        ed = _directed(edges, reverse, with_tests).persist()
+        ed = _directed(edges, reverse, with_tests)
         seen = _levels(start, ed, depth)
         reportable = is_test_path(F.col("path")) | F.lit(role in directions)
-        found = seen.where((F.col("depth") > 0) & reportable).join(files, "path", "left_anti")
-        held = files.agg(F.count("*")).first()[0]
-        admitted = found.orderBy("depth", "pos").limit(max_files - held).select("path").persist()
-        omitted.append(found.join(admitted, "path", "left_anti").select("path"))
-        files = files.unionByName(admitted)
+        found = seen.where((F.col("depth") > 0) & reportable & ~F.col("path").isin(*admitted))
+        own = [r.path for r in found.orderBy("depth", "pos").limit(max_files - len(admitted)).select("path").collect()]
+        admitted += own
+        omitted.append(found.where(~F.col("path").isin(*own)).select("path") if own else found.select("path"))
         reached = seen.where(F.col("depth") < depth).join(ed, seen.path == F.col("from")).select(F.col("to").alias("path"), (F.col("depth") + 1).alias("depth"), "e").where(reportable)
         hits.append(reached.select("path", "depth", F.when(is_test_path(F.col("path")), F.lit("test")).otherwise(role).alias("role"), "e"))
-    pivot_rows = start.select("path", F.lit(0).alias("depth"), F.lit("pivot").alias("role"), F.lit(None).cast(edges.select(F.struct("source_path", "target_path", "line", "raw_target", "kind", "resolver").alias("e")).schema["e"].dataType).alias("e"))
-    rows = pivot_rows
+    whole = edges.select(F.struct("source_path", "target_path", "line", "raw_target", "kind", "resolver").alias("e")).schema["e"].dataType
+    rows = start.select("path", F.lit(0).alias("depth"), F.lit("pivot").alias("role"), F.lit(None).cast(whole).alias("e"))
     for h in hits:
-        rows = rows.unionByName(h)
-    rows = rows.join(files, "path", "left_semi").join(start.select("path", "score"), "path", "left")
+        rows = rows.unionByName(h.where(F.col("path").isin(*admitted)))
+    rows = rows.join(F.broadcast(start.select("path", "score")), "path", "left")
     role_at = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int")
-    # evidence of one place once, whichever its kind and resolver
-    kept = F.aggregate(F.array_sort(F.collect_set("e")), F.array().cast("array<struct<source_path: string, target_path: string, line: int, raw_target: string, kind: string, resolver: string>>"), lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(F.element_at(acc, -1).getField("source_path").eqNullSafe(x["source_path"]) & F.element_at(acc, -1).getField("target_path").eqNullSafe(x["target_path"]) & F.element_at(acc, -1).getField("line").eqNullSafe(x["line"]) & F.element_at(acc, -1).getField("raw_target").eqNullSafe(x["raw_target"]), acc).otherwise(F.concat(acc, F.array(x))))
     roles = F.transform(F.array_sort(F.collect_set(role_at)), lambda i: F.element_at(F.array(*map(F.lit, ROLES)), i))
-    result = rows.groupBy("path").agg(roles.alias("roles"), F.min("depth").alias("depth"), F.max("score").alias("score"), kept.alias("evidence"))
-    left_out = omitted[0] if omitted else files.limit(0)
+    result = rows.groupBy("path").agg(roles.alias("roles"), F.min("depth").alias("depth"), F.max("score").alias("score"), _one_a_place(F.array_sort(F.collect_set("e"))).alias("evidence"))
+    left_out = omitted[0] if omitted else start.select("path").limit(0)
     for o in omitted[1:]:
         left_out = left_out.unionByName(o)
-    return result, left_out.distinct().join(files, "path", "left_anti")
+    return result, left_out.where(~F.col("path").isin(*admitted)).distinct() if admitted else left_out.distinct()
+
+
+def _one_a_place(evidence):
+    """Sorted evidence with one entry for each place, whichever its kind and resolver."""
+    place = lambda x: F.struct(*(x[c].alias(c) for c in ("source_path", "target_path", "line", "raw_target")))
+    return F.filter(evidence, lambda x, i: (i == 0) | ~place(x).eqNullSafe(place(F.get(evidence, i - 1))))
 
 
 def in_order(result: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialize
+
 _LAYER = re.compile(r"[A-Za-z_][A-Za-z0-9_-]*\Z")
 
 
@@ -34,10 +36,10 @@ def glob_to_regex(glob: str) -> str:
             inner = glob[i + 1 : end]
             out, i = out + "[" + ("^" + inner[1:] if inner[0] in "!^" else inner).replace("\\", "\\\\") + "]", end + 1
         elif c == "{" and (end := glob.find("}", i)) > 0:
-            out, i = out + "(?:" + "|".join(glob_to_regex(x)[1:-1] for x in glob[i + 1 : end].split(",")) + ")", end + 1
+            out, i = out + "(?:" + "|".join(glob_to_regex(x)[1:-2] for x in glob[i + 1 : end].split(",")) + ")", end + 1
         else:
             out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)), i + 1
-    return f"^{out}$"
+    return f"^{out}\\z"
 
 
 def compile_policy(config: dict | None) -> Policy | None:
@@ -97,8 +99,8 @@ def layer_rows(paths: DataFrame, policy: Policy) -> DataFrame:
 
 
 def classify(paths: DataFrame, policy: Policy) -> DataFrame:
-    """(path, layer or null); a path in several layers fails the whole check."""
-    rows = layer_rows(paths, policy)
+    """(path, layer or null), a table; a path in several layers fails the whole check."""
+    rows = materialize(layer_rows(paths, policy), "layers")
     both = rows.where(F.size("layers") > 1).orderBy("path").first()
     if both:
         raise PolicyError(f"{both.path} is in layers {', '.join(both.layers)}")
@@ -126,6 +128,7 @@ def evaluate(files: DataFrame, edges: DataFrame, policy: Policy, only: list[str]
         if missing := [p for p in wanted if p not in known]:
             raise PolicyError(f"not indexed: {', '.join(missing)}")
         edges = edges.where(F.col("source_path").isin(*wanted))
+    edges = materialize(edges.select("source_path", "target_path", "line", "raw_target", "kind", "resolver", "resolution"), "checked-edges")
     ends = edges.where("resolution = 'exact'").select(F.explode(F.array("source_path", "target_path")).alias("path"))
     layers = classify(checked.unionByName(ends).distinct(), policy)
     found = violations(edges, layers, policy)

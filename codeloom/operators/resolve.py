@@ -2,7 +2,7 @@
 
 Each observation proposes the paths it could mean; one equi-join with the files
 tells which exist. An absolute Python module may sit below any folder, so every
-path offers all its suffixes to that join instead of being searched.
+path offers those of its suffixes that are imported instead of being searched.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ _NONE = "array<struct<path: string, rank: int>>"
 
 
 def _script(stem):
-    plain = ~F.substring_index(stem, "/", -1).rlike(r"^.+\.[^.]*$")
+    plain = ~F.substring_index(stem, "/", -1).rlike(r"^.+\.[^.]*\z")
     more = _ranked([F.concat(stem, F.lit(f".{e}")) for e in _SCRIPT_ENDINGS] + [F.concat(stem, F.lit(f"/index.{e}")) for e in _SCRIPT_ENDINGS])
     return F.when(plain, F.concat(_ranked([stem]), more)).otherwise(_ranked([stem]))
 
@@ -32,7 +32,7 @@ def _script(stem):
 def _python_path(source, raw):
     """The path that a relative module names, or null."""
     dots = F.length(F.regexp_extract(raw, r"^(\.*)", 1))
-    module = F.replace(F.regexp_replace(raw, r"^\.+|\.+$", ""), F.lit("."), F.lit("/"))
+    module = F.replace(F.regexp_replace(raw, r"^\.+|\.+\z", ""), F.lit("."), F.lit("/"))
     return F.when((dots > 0) & (module != ""), joined_path(parent_of(source), F.concat(F.repeat(F.lit("../"), dots - 1), module)))
 
 
@@ -91,13 +91,15 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     seen = imports.join(files.select(F.col("path").alias("file_path"), "lang"), "file_path")
     keys, raw, paths = ["file_path", "target", "kind", "line"], F.col("target"), files.select("path")
     direct = _with_proposals(seen).select(*keys, F.explode_outer("__p").alias("p")).select(*keys, F.col("p.path").alias("path"), F.col("p.rank").alias("rank")).join(paths, "path", "left_semi")
-    module = F.replace(F.regexp_replace(raw, r"\.+$", ""), F.lit("."), F.lit("/"))
+    module = F.replace(F.regexp_replace(raw, r"\.+\z", ""), F.lit("."), F.lit("/"))
     absolute = seen.where((F.col("lang") == "python") & ~raw.startswith(".") & (module != "")).select(*keys, F.explode_outer(F.array(F.concat(module, F.lit(".py")), F.concat(module, F.lit("/__init__.py")))).alias("suffix"))
     parts = F.split("path", "/")
     suffixes = paths.where("path LIKE '%.py'").select("path", F.explode_outer(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("suffix"))
-    found = direct.unionByName(absolute.join(suffixes, "suffix").select(*keys, "path", F.lit(0).alias("rank")))
+    # only suffixes that some import names; each gathers its paths once, however many imports name it
+    named = suffixes.join(absolute.select("suffix").distinct(), "suffix", "left_semi").groupBy("suffix").agg(F.collect_set("path").alias("c"))
+    some = direct.groupBy(*keys, "rank").agg(F.collect_set("path").alias("c")).unionByName(absolute.join(named, "suffix").select(*keys, F.lit(0).alias("rank"), "c"))
     # the longest module prefix that exists wins: the candidates of the greatest rank
-    best = found.groupBy(*keys, "rank").agg(F.array_sort(F.collect_set("path")).alias("c")).groupBy(*keys).agg(F.max_by("c", "rank").alias("c"))
+    best = some.groupBy(*keys, "rank").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))).alias("c")).groupBy(*keys).agg(F.max_by("c", "rank").alias("c"))
     resolver = F.create_map(*(F.lit(x) for pair in RESOLVERS.items() for x in pair))
     joined = seen.join(best, keys, "left").withColumn("c", F.coalesce("c", F.array().cast("array<string>")))
     n = F.size("c")
@@ -125,7 +127,8 @@ def edge_digest(edges: DataFrame) -> DataFrame:
     Rows are hashed one by one and summed by prefix, so that no task or row holds
     all edges at once.
     """
-    row = F.sha2(F.to_json(F.struct("source_path", "raw_target", F.coalesce("target_path", F.lit("")).alias("target_path"), "kind", "line", "resolution", "resolver", "candidate_paths")), 256)
+    said = (F.col("source_path"), F.col("raw_target"), F.coalesce("target_path", F.lit("")), F.col("kind"), F.col("line").cast("string"), F.col("resolution"), F.col("resolver"), F.array_join("candidate_paths", "\x01"))
+    row = F.sha2(F.concat_ws("\0", *said).cast("binary"), 256)
     parts = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]
     total = edges.select(row.alias("h")).agg(F.count("*").alias("n"), *parts)
-    return total.select(F.sha2(F.concat_ws("|", "n", *(f"s{i}" for i in range(4))), 256).alias("digest"))
+    return total.select(F.sha2(F.concat_ws("|", "n", *(f"s{i}" for i in range(4))).cast("binary"), 256).alias("digest"))

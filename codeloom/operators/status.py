@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +24,23 @@ def status(files: DataFrame, symbols: DataFrame, imports: DataFrame, edges: Data
     return out
 
 
+def _digest(batches):
+    whole = hashlib.sha256(f"{SCHEMA_VERSION}\0".encode())
+    for batch in batches:
+        for path, mark in zip(*(c.to_pylist() for c in batch.columns)):
+            whole.update(f"{path}\0{mark}\0".encode())
+    yield pa.record_batch([pa.array([f"sha256:{whole.hexdigest()}"])], ["fingerprint"])
+
+
 def index_fingerprint(files: DataFrame) -> DataFrame:
     """`sha256:` and the hash of the schema version and every path and hash in
-    order of path, each ended by a NUL."""
-    pair = F.struct("path", "hash")
-    each = F.transform(F.array_sort(F.collect_list(pair)), lambda x: F.concat(x["path"], F.chr(F.lit(0)), x["hash"], F.chr(F.lit(0))))
-    body = F.concat(F.lit(SCHEMA_VERSION), F.chr(F.lit(0)), F.array_join(each, ""))
-    return files.agg(F.concat(F.lit("sha256:"), F.sha2(body.cast("binary"), 256)).alias("fingerprint"))
+    order of path, each ended by a NUL.
+
+    A hash of one sequence has to see it in order: the sorted pairs stream
+    through one task that holds a batch at a time, whatever their number.
+    """
+    pairs = files.select("path", "hash").repartition(1).sortWithinPartitions("path", "hash")
+    return pairs.mapInArrow(_digest, "fingerprint string")
 
 
 def repo_fingerprint(root: str) -> str:
@@ -118,5 +129,5 @@ def timing_stats(runs: DataFrame) -> DataFrame:
 def largest_source(files: DataFrame) -> DataFrame:
     """The largest source file; of equals the first by path."""
     size = F.octet_length("content").cast("long")
-    endings = F.col("path").rlike(r"\.(rs|ts|tsx|js|jsx|py)$")
+    endings = F.col("path").rlike(r"\.(rs|ts|tsx|js|jsx|py)\z")
     return files.where(endings).select("path", size.alias("bytes")).orderBy(F.desc("bytes"), "path").limit(1)

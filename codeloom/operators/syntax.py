@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import IMPORTS, SYMBOLS
-from .extract import line_imports, line_symbols, without_prefixes
+from .extract import SYMBOL_PATTERNS, line_imports, line_symbols, without_prefixes
 
 PARSED = ("rust", "typescript", "javascript", "python")
 
@@ -29,12 +29,28 @@ def _lines(text: str) -> list[str]:
 
 
 class Source:
-    """A text, its mask (strings and comments blanked) and its line numbers."""
+    """A text, its mask (strings and comments blanked), its line numbers and one
+    table of its brackets: where each is closed and how deep it lies."""
 
     def __init__(self, lang: str, text: str):
         self.text, self.lines = text, _lines(text)
         self.mask, self.strings = _masked(lang, text)
         self.ends = [m.start() for m in re.finditer("\n", text)]
+        self.marks: list[int] = []
+        self.before: list[int] = []  # the depth before each mark
+        self.partner: dict[int, int] = {}
+        held: list[int] = []
+        depth = 0
+        for m in re.finditer(r"[()\[\]{};]", self.mask):
+            self.marks.append(m.start())
+            self.before.append(depth)
+            if m[0] in "([{":
+                held.append(m.start())
+                depth += 1
+            elif m[0] in ")]}":
+                depth -= 1
+                if held:
+                    self.partner[held.pop()] = m.start()
 
     def line(self, at: int) -> int:
         return bisect_left(self.ends, at) + 1
@@ -42,21 +58,30 @@ class Source:
     def signature(self, line: int) -> str:
         return self.lines[line - 1].strip()[:180] if line <= len(self.lines) else ""
 
+    def depth(self, at: int) -> int:
+        """How many brackets are open at a place, less those closed."""
+        k = bisect_left(self.marks, at)
+        if k < len(self.marks):
+            return self.before[k]
+        last = self.mask[self.marks[-1]] if self.marks else ";"
+        return (self.before[-1] if self.marks else 0) + (last in "([{") - (last in ")]}")
+
     def closed(self, at: int, stop: str = ";") -> tuple[int, bool]:
-        """Where the body that begins after `at` ends, and whether it does."""
-        depth = 0
-        for i in range(at, len(self.mask)):
+        """Where the body that begins after `at` ends, and whether it does; what
+        brackets hold is stepped over."""
+        k = bisect_left(self.marks, at)
+        while k < len(self.marks):
+            i = self.marks[k]
             c = self.mask[i]
             if c in "([{":
-                depth += 1
-            elif c in ")]}":
-                depth -= 1
-                if depth < 0:
-                    return i, True
-                if c == "}" and depth == 0:
-                    return i, True
-            elif c in stop and depth == 0:
+                if (end := self.partner.get(i)) is None:
+                    break
+                if self.mask[end] == "}":
+                    return end, True
+                k = bisect_left(self.marks, end, k)
+            elif c in ")]}" or c in stop:
                 return i, True
+            k += 1
         return max(at, len(self.mask) - 1), False
 
 
@@ -106,14 +131,25 @@ def _masked(lang: str, text: str) -> tuple[str, list[tuple[int, str]]]:
     return "".join(out), strings
 
 
-def _python_symbols(text: str) -> list[tuple] | None:
+def _tree(text: str) -> ast.Module | None:
+    """What Python's parser makes of a text, or None where it refuses it."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            tree = ast.parse(text)
+            return ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    lines, out = _lines(text), []
+
+
+def _python_symbols(text: str) -> list[tuple]:
+    tree, lines, out = _tree(text), _lines(text), []
+    if tree is None:  # by line patterns, each up to the line before the next
+        for i, line in enumerate(lines, 1):
+            found = next(((m[1], kind) for pattern, kind in SYMBOL_PATTERNS["python"] if (m := re.match(pattern, line))), None)
+            if found:
+                out.append((*found, i, line.strip()[:180]))
+        ends = [x[2] - 1 for x in out[1:]] + [max(len(lines), 1)]
+        return [(name, kind, i, max(i, end), "approximate", said) for (name, kind, i, said), end in zip(out, ends)]
     for node in ast.walk(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             kind = "class" if isinstance(node, ast.ClassDef) else "function"
@@ -122,6 +158,7 @@ def _python_symbols(text: str) -> list[tuple] | None:
 
 
 _RUST = re.compile(r"\b(?:(fn|struct|enum|trait)\s+([A-Za-z_]\w*)|(impl)\b)")
+_HEAD = re.compile(r"(?:pub(?:\s*\([^)]*\))?\s+|unsafe\s+|async\s+|const\s+|extern(?:\s+\S+)?\s+|default\s+)*\Z")
 _IMPL = re.compile(r"(?:[&!]\s*)?(?:dyn\s+)?((?:[A-Za-z_]\w*\s*::\s*)*[A-Za-z_]\w*)")
 _SCRIPT = re.compile(r"\b(?:(function)\s*\*?\s*([A-Za-z_$][\w$]*)|(class|interface)\s+([A-Za-z_$][\w$]*)|(type)\s+([A-Za-z_$][\w$]*)(?:\s*<[^=;]*>)?\s*=(?!=)|(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;\n]+)?=\s*(?:async\s+)?(?:(function\b)|(?:\([^;{}]*?\)|[A-Za-z_$][\w$]*)\s*(?::[^=;{]+)?=>))")
 _METHOD = re.compile(r"(?:^|(?<=[{};\n]))[ \t]*(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)*[*#]?([A-Za-z_$][\w$]*)\s*(?:<[^(){}]*>)?\(", re.M)
@@ -153,11 +190,10 @@ def _rust_symbols(source: Source) -> list[tuple]:
             name, kind = source.text[named.start(1) : end], "impl"
         else:
             name, kind, end = m[2], {"fn": "function"}.get(m[1], m[1]), m.end()
-            if m[1] == "fn" and source.closed(end)[0] < len(mask) and mask[source.closed(end)[0]] == ";":
+            if m[1] == "fn" and mask[source.closed(end)[0]] == ";":
                 continue  # declared without a body
         begin = m.start()
-        head = re.compile(r"(?:pub(?:\s*\([^)]*\))?\s+|unsafe\s+|async\s+|const\s+|extern(?:\s+\S+)?\s+|default\s+)*\Z")
-        begin = head.search(mask, mask.rfind("\n", 0, begin) + 1, begin).start()
+        begin = _HEAD.search(mask, mask.rfind("\n", 0, begin) + 1, begin).start()
         close, whole = source.closed(end)
         line = source.line(begin)
         out.append((name, kind, line, source.line(close), "exact-range" if whole else "approximate", source.signature(line)))
@@ -175,20 +211,21 @@ def _script_symbols(source: Source) -> list[tuple]:
         if kind == "class":
             bodies.append((mask.find("{", m.end()), close))
     for a, b in bodies:
-        depth = 0
-        marks = {m.start(1): m for m in _METHOD.finditer(mask, a + 1, b)}
-        for i in range(a, b):
-            if depth == 1 and i in marks and marks[i][1] not in _NOT_METHODS:
-                close, whole = source.closed(marks[i].end() - 1)
+        if a < 0:
+            continue
+        inside = source.depth(a) + 1
+        for m in _METHOD.finditer(mask, a + 1, b):
+            i = m.start(1)
+            if m[1] not in _NOT_METHODS and source.depth(i) == inside:
+                close, whole = source.closed(m.end() - 1)
                 if mask[close : close + 1] == "}":
                     line = source.line(i)
-                    out.append((marks[i][1], "function", line, source.line(close), "exact-range" if whole else "approximate", source.signature(line)))
-            depth += (mask[i] in "{([") - (mask[i] in "})]")
+                    out.append((m[1], "function", line, source.line(close), "exact-range" if whole else "approximate", source.signature(line)))
     return sorted(out, key=lambda x: x[2])
 
 
 def symbols_of(lang: str, text: str) -> list[tuple] | None:
-    """(name, kind, line, end_line, range_evidence, signature), or None where only patterns help."""
+    """(name, kind, line, end_line, range_evidence, signature), or None without a parser."""
     if lang == "python":
         return _python_symbols(text)
     if lang == "rust":
@@ -227,11 +264,7 @@ def imports_of(lang: str, text: str) -> list[tuple]:
     """(target, kind, line) from syntax."""
     out: list[tuple] = []
     if lang == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                tree = ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
+        if (tree := _tree(text)) is None:
             found = []
             for i, line in enumerate(_lines(text), 1):
                 if m := re.match(r"\s*from\s+([\w.]+)\s+import\b", line):
@@ -271,18 +304,12 @@ def _extract(fn, schema: str):
     return run
 
 
-def _unparsed(batches):
-    for batch in batches:
-        keep = [lang == "python" and _python_symbols(text) is None for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def extract_symbols(files: DataFrame) -> DataFrame:
-    """All symbols: by syntax where there is a parser, else by line patterns."""
+    """All symbols: by syntax where there is a parser, else by line patterns.
+    Every file is read and parsed once."""
     held = files.select("path", "lang", "content")
-    parsed = held.where(F.col("lang").isin(*PARSED))
-    failed = parsed.where("lang = 'python'").mapInArrow(_unparsed, "path string, lang string, content string")
-    return parsed.mapInArrow(_extract(symbols_of, SYMBOLS), SYMBOLS).unionByName(line_symbols(held.where(~F.col("lang").isin(*PARSED)).unionByName(failed)))
+    parsed = held.where(F.col("lang").isin(*PARSED)).mapInArrow(_extract(symbols_of, SYMBOLS), SYMBOLS)
+    return parsed.unionByName(line_symbols(held.where(~F.col("lang").isin(*PARSED))))
 
 
 def extract_imports(files: DataFrame) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import capsule, changes, impact, policy, rank, resolve, status, syntax
 from ..operators.extract import distinct_targets, line_imports, line_symbols, without_prefixes
+from ..shared import materialize, shared_dir
 from .corpus import CODE_FILES, TEXT_FILES, code_files, over, python_files, rust_files, text_files, values, values_sql
 
 QUERIES: dict = {}
@@ -296,7 +295,10 @@ def _reverse(spark, sf):
     return resolve.neighbours(script_edges(spark, sf), reverse=True)
 
 
-@query("edge_digest")
+_HASHED = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4))
+
+
+@query("edge_digest", f"WITH {EDGES}, h AS (SELECT sha256(concat_ws(chr(0), source_path, raw_target, coalesce(target_path, ''), kind, CAST(line AS VARCHAR), resolution, resolver, array_to_string(candidate_paths, chr(1)))) AS h FROM edges) SELECT sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {_HASHED})) AS digest FROM h")
 def _digest(spark, sf):
     return resolve.edge_digest(script_edges(spark, sf))
 
@@ -427,8 +429,9 @@ def _full(spark, sf):
 _PIVOTS = [("src/m7/doc_27.ts", 0, 2.5), ("src/m0/doc_60.ts", 1, 1.0)]
 
 
-def _impact_sql(directions: set[str], depth: int, cap: int, tests: bool) -> str:
+def _impact_sql(directions: set[str], depth: int, cap: int, tests: bool, last: str = "SELECT * FROM answer") -> str:
     """Files, roles, depths and the number of edges of evidence, by levels with row numbers."""
+    omitted = []
     out = [f"WITH {EDGES}", f"piv AS {values_sql(_PIVOTS, 'path, ord, score')}", "f0 AS (SELECT path FROM piv)"]
     test = "(contains({0}, '/test') OR ends_with({0}, '_test.rs') OR ends_with({0}, '.test.ts') OR ends_with({0}, '.spec.ts'))"
     files, evidence = "f0", []
@@ -445,18 +448,20 @@ def _impact_sql(directions: set[str], depth: int, cap: int, tests: bool) -> str:
             seen.append(f"s{d}_{k}")
         rep = "TRUE" if role in directions else test.format("{0}")
         out.append(f"seen{d} AS ({' UNION ALL '.join(f'SELECT * FROM {s}' for s in seen)})")
+        omitted.append(f"SELECT path FROM seen{d} WHERE depth > 0 AND {rep.format('path')}")
         out.append(f"adm{d} AS (SELECT path FROM (SELECT path, row_number() OVER (ORDER BY depth, pos) AS r FROM seen{d} WHERE depth > 0 AND {rep.format('path')} AND path NOT IN (SELECT path FROM {files})) WHERE r <= {cap} - (SELECT count(*) FROM {files}))")
         out.append(f"g{d} AS (SELECT path FROM {files} UNION ALL SELECT path FROM adm{d})")
         files = f"g{d}"
         evidence.append(f"SELECT e.n AS path, s.depth + 1 AS depth, CASE WHEN {test.format('e.n')} THEN 'test' ELSE '{role}' END AS role, struct_pack(a := source_path, b := target_path, c := line, d := raw_target) AS ev FROM seen{d} s JOIN ed{d} e ON e.src = s.path WHERE s.depth < {depth} AND {rep.format('e.n')}")
     out.append(f"ev AS (SELECT path, 0 AS depth, 'pivot' AS role, NULL AS ev FROM piv UNION ALL {' UNION ALL '.join(evidence)})")
     final = f"SELECT path, list_sort(list(DISTINCT role)) AS roles, min(depth)::INT AS depth, count(DISTINCT ev)::BIGINT AS n_evidence FROM ev WHERE path IN (SELECT path FROM {files}) GROUP BY path"
-    return ", ".join(out) + " " + final
+    out += [f"answer AS ({final})", f"omitted AS (SELECT DISTINCT path FROM ({' UNION ALL '.join(omitted)}) WHERE path NOT IN (SELECT path FROM {files}))"]
+    return ", ".join(out) + " " + last
 
 
 def _impact(directions: set[str], depth: int, cap: int, tests: bool):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        edges = script_edges(spark, sf).cache()
+        edges = materialize(script_edges(spark, sf), "edges")
         files, _ = impact.impact(edges, values(spark, _PIVOTS, "path string, ord int, score double"), directions, depth, cap, tests)
         return files.select("path", F.array_sort("roles").alias("roles"), "depth", F.size("evidence").cast("bigint").alias("n_evidence"))
 
@@ -475,6 +480,26 @@ for _name, _args in {
     query(_name, _impact_sql(*_args))(_impact(*_args))
 
 
+def _both(spark: SparkSession, sf: str, depth: int, cap: int) -> tuple[DataFrame, DataFrame]:
+    edges = materialize(script_edges(spark, sf), "edges")
+    return impact.impact(edges, values(spark, _PIVOTS, "path string, ord int, score double"), _BOTH, depth, cap, True)
+
+
+@query("impact_omitted", _impact_sql(_BOTH, 3, 6, True, "SELECT path FROM omitted"))
+def _omitted(spark, sf):
+    return _both(spark, sf, 3, 6)[1]
+
+
+_FIRST_ROLE = "CASE WHEN list_contains(roles, 'pivot') THEN 1 WHEN list_contains(roles, 'dependency') THEN 2 WHEN list_contains(roles, 'dependent') THEN 3 ELSE 4 END"
+
+
+@query("impact_order", _impact_sql(_BOTH, 3, 500, True, f"SELECT path, row_number() OVER (ORDER BY {_FIRST_ROLE}, depth, score DESC NULLS LAST, path) AS place FROM answer LEFT JOIN piv USING (path)"))
+def _order(spark, sf):
+    """The order of the answer: at most 500 rows, numbered as they come."""
+    rows = impact.in_order(_both(spark, sf, 3, 500)[0]).select("path").collect()
+    return values(spark, [(r.path, i) for i, r in enumerate(rows, 1)], "path string, place long")
+
+
 @query("impact_observations", f"WITH {EDGES}, piv AS {values_sql(_PIVOTS + [('src/m3/doc_3.ts', 2, 0.0), ('src/m13/doc_993.ts', 3, 0.0)], 'path, ord, score')} SELECT source_path AS source, raw_target, kind, line, resolution, candidate_paths AS candidates FROM edges WHERE resolution <> 'exact' AND source_path IN (SELECT path FROM piv) ORDER BY resolution, source, line, raw_target LIMIT 50")
 def _observations(spark, sf):
     pivots = values(spark, _PIVOTS + [("src/m3/doc_3.ts", 2, 0.0), ("src/m13/doc_993.ts", 3, 0.0)], "path string, ord int, score double")
@@ -548,13 +573,22 @@ def _counts(spark, sf):
     return policy.evaluate(code_files(spark, sf), script_edges(spark, sf), policy.compile_policy(POLICY))[0]
 
 
+_SCOPE = ["src/m3/doc_3.ts", "src/m1/../m0/doc_60.ts", "src/m13/doc_13.js"]
+_SCOPED = "('src/m3/doc_3.ts', 'src/m0/doc_60.ts', 'src/m13/doc_13.js')"
+
+
+@query("boundary_scoped", f"{_VIOLATIONS} SELECT (SELECT count(*) FROM files WHERE path IN {_SCOPED}) AS checked_files, (SELECT count(*) FROM layers WHERE layer IS NULL AND path IN {_SCOPED}) AS unclassified_files, (SELECT count(*) FROM edges WHERE resolution = 'exact' AND source_path IN {_SCOPED}) AS exact_edges, (SELECT count(*) FROM edges WHERE resolution <> 'exact' AND source_path IN {_SCOPED}) AS unresolved_observations, (SELECT count(*) FROM bad WHERE source_path IN {_SCOPED}) AS violations")
+def _scoped(spark, sf):
+    return policy.evaluate(code_files(spark, sf), script_edges(spark, sf), policy.compile_policy(POLICY), _SCOPE)[0]
+
+
 # --- status, refresh, metrics -----------------------------------------------------
 
 
 @query("index_status", f"WITH {EDGES}, {SYMBOLS[len(LINES) + 2 :]} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM imports) AS imports, count(*) FILTER (WHERE resolution = 'exact') AS exact_edges, count(*) FILTER (WHERE resolution = 'ambiguous') AS ambiguous_edges, count(*) FILTER (WHERE resolution = 'unresolved') AS unresolved_edges FROM edges")
 def _status(spark, sf):
     files = code_files(spark, sf)
-    found = line_imports(files)
+    found = materialize(line_imports(files), "imports")
     return status.status(files, line_symbols(files), found, resolve.resolve_imports(found, files.select("path", "lang")))
 
 
@@ -611,14 +645,14 @@ def _bench(spark, sf):
     return status.timing_stats(values(spark, RUNS, "name string, ms double"))
 
 
-@query("watch_available_now")
+@query("watch_available_now", f"WITH {FILES} SELECT count(*) AS files, count(DISTINCT path) AS paths FROM files")
 def _watch(spark, sf):
     """Changes that arrive as files, applied batch by batch to a table until none is left."""
     from ..streaming.watch import changed_files_stream
 
-    folder = tempfile.mkdtemp(prefix="codeloom-watch-")
+    folder = shared_dir(spark, "watch")
     files = code_files(spark, sf).select("path", "hash")
     files.repartition(3).write.parquet(f"{folder}/in")
     seen = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
     changed_files_stream(spark, f"{folder}/in", "path string, hash string", seen, f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").groupBy("batch").agg(F.count("*").alias("files"))
+    return spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("files"), F.count_distinct("path").alias("paths"))

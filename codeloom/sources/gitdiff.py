@@ -12,6 +12,7 @@ MAX_BYTES = 64 << 20
 CHANGES = "ord int, path string, old_path string, new_path string, kind string, binary boolean"
 HUNKS = "path string, hunk int, old_start int, old_end int, new_start int, new_end int"
 _HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
+_QUOTED = re.compile(r"\\(?P<octal>[0-7]{1,3})|\\(?P<escape>.)|[^\\]+|\\", re.S)
 _ESCAPES = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, '"': 34, "\\": 92}
 
 
@@ -33,28 +34,24 @@ class ChangedFile:
 
 
 def decode_path(said: str) -> str:
-    """A path as git writes it, quoted with octal bytes or plain."""
-    if not said.startswith('"'):
+    """A path as git writes it, plain or quoted with octal bytes.
+
+    One odd path must not cost the whole diff: an unknown escape stands for its
+    own character, an octal one may be short, bytes that are not UTF-8 become
+    replacement characters, and what is not closed is taken as it stands.
+    """
+    said = said.strip()
+    if len(said) < 2 or not (said.startswith('"') and said.endswith('"')):
         return said
-    if len(said) < 2 or not said.endswith('"'):
-        raise DiffError(f"unfinished quote in {said!r}")
-    out, i, body = bytearray(), 0, said[1:-1]
-    while i < len(body):
-        if body[i] != "\\":
-            out += body[i].encode()
-            i += 1
-        elif re.match(r"[0-7]{3}", body[i + 1 : i + 4]):
-            out.append(int(body[i + 1 : i + 4], 8) & 255)
-            i += 4
-        elif body[i + 1 : i + 2] in _ESCAPES:
-            out.append(_ESCAPES[body[i + 1]])
-            i += 2
-        else:
-            raise DiffError(f"unknown escape in {said!r}")
-    try:
-        return out.decode("utf-8")
-    except UnicodeDecodeError as e:
-        raise DiffError(f"path {said!r} is not UTF-8") from e
+    out = bytearray()
+    for m in _QUOTED.finditer(said[1:-1]):
+        if m["octal"]:
+            out.append(int(m["octal"], 8) & 255)
+        elif m["escape"]:
+            out += bytes([_ESCAPES[m["escape"]]]) if m["escape"] in _ESCAPES else m["escape"].encode("utf-8", "surrogatepass")
+        elif m[0] != "\\":
+            out += m[0].encode("utf-8", "surrogatepass")
+    return out.decode("utf-8", "replace")
 
 
 def _side(said: str, prefix: str) -> str | None:
