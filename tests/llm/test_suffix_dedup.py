@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -64,6 +65,44 @@ def test_production_length(spark):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def shared_words(rows, passage):
+    """Words in passages of at least `passage` words that another (doc_id, text) holds too."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    homes = {}
+    for row, words in zip(rows, split):
+        for i in range(len(words) - passage + 1):
+            homes.setdefault(tuple(words[i : i + passage]), set()).add(row)
+    out = []
+    for words in split:
+        held = set()
+        for i in range(len(words) - passage + 1):
+            if len(homes[tuple(words[i : i + passage])]) > 1:
+                held.update(range(i, i + passage))
+        out.append(len(held))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "passage", "gram", "block"), [(5, 20, 4, 1000), (6, 12, 3, 3)])
+def test_shared_words(spark, seed, passage, gram, block):
+    texts = texts_of(seed, 120)
+    rnd = random.Random(seed)
+    tail = " ".join(str(rnd.randrange(99)) for _ in range(passage + 3))
+    texts += [f"{rnd.random()} {tail}" for _ in range(4)] + [tail + "\n\t" + tail, "la " * 90, "la " * 70]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_shared_words for r in remove_repeats(docs, block=block, passage=passage, word_gram=gram).collect()}
+    assert [got[i] for i, _ in rows] == shared_words(rows, passage)
+
+
+def test_rows_without_or_with_one_identifier(spark):
+    a, q = (random.Random(k).randbytes(700).hex()[:900] for k in (1, 2))
+    rows = [(3, a, 1), (3, q, 2), (4, q, 3), (None, q[:700] + "....x", 4), (None, None, 5), (None, "", 6), (None, a[:300], 7), (8, a[100:450], 8), (None, q, 9), (None, q, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long").repartition(3)
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs).collect())
+    want = brute([t for _, t, _ in rows], 400)
+    assert got == sorted((d or -1, *want[i]) for i, (d, _, _) in enumerate(rows))
+
+
 def test_every_window_has_an_anchor():
     raw = np.frombuffer(random.Random(4).randbytes(5000), np.uint8)
     at, _ = anchors(raw, 100, 10)
