@@ -13,41 +13,40 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, documents
+from .common import SPACE, WORD, documents, key_filter, materialize, may_hold
 
 BUCKETS = 1 << 13
-#: Mean log-likelihood ratio for each n-gram from which a document stays.
-THRESHOLD = -0.2
+#: Mean log-likelihood ratio for each n-gram from which a document stays. Of the
+#: labelled documents at sf0.1 it keeps 99.6 % of label 1 and 6 % of label 0.
+THRESHOLD = -0.05
 SMOOTHING = 1.0
-#: Up to so many trusted identifiers they are broadcast (8 bytes each); beyond
-#: it they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 #: Letter-and-digit runs, and runs of other marks.
-TOKEN = r"[\p{L}\p{M}\p{N}]++|[^\p{L}\p{M}\p{N}\s]++"
+TOKEN = r"(?:[\p{L}\p{M}\p{N}]++|[^\p{L}\p{M}\p{N}\s]++)"
+#: An n-gram: two tokens and what lies between them (the last token stands alone).
+GRAM = rf"(?=({TOKEN}\s*+{TOKEN}?+)){TOKEN}"
 
 
-def _with_grams(docs: DataFrame, buckets: int) -> DataFrame:
-    """`__g`: the hashed unigrams and bigrams of `text` (the last token pairs with the end)."""
-    tokens = docs.withColumn("__t", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)))
-    one = f"transform(__t, a -> pmod(hash(a), {buckets}))"
-    two = f"zip_with(__t, slice(__t, 2, greatest(size(__t), 1)), (a, b) -> pmod(hash(a, b), {buckets}))"
-    return tokens.withColumn("__g", F.expr(f"concat({one}, {two})")).drop("__t")
+def _grams(text="text"):
+    return F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(GRAM), F.lit(1))
 
 
-def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, broadcast_ids: int = BROADCAST_IDS) -> list[float]:
+def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
     """log p_trusted - log p_raw of each bucket, counted over all of `docs`.
 
-    `trusted` holds the doc_id of trusted rows. At most `buckets` rows of counts
-    come to the driver, whatever the size of the corpus.
+    `trusted` holds the doc_id of trusted rows, nulls and repeats aside. A filter
+    of fixed size clears most other rows; those it leaves meet the identifiers by
+    a join. At most `buckets` rows of counts come to the driver, whatever the
+    size of the corpus.
     """
-    ids = trusted.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct()
-    if ids.count() <= broadcast_ids:
-        ids = F.broadcast(ids)
-    marked = docs.select("doc_id", "text").join(ids.withColumn("__ok", F.lit(1)), F.col("doc_id") == F.col("__id"), "left")
-    grams = _with_grams(marked.select("text", F.coalesce("__ok", F.lit(0)).alias("ok")), buckets).select(F.explode("__g").alias("bucket"), "ok")
+    ids = materialize(trusted.select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL").distinct(), "trusted")
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"))
+    some = key_filter(ids, "id")
+    known = rows.join(some, may_hold("id"), "left_semi").join(ids.withColumn("ok", F.lit(1)), "id", "left").select("text", F.coalesce("ok", F.lit(0)).alias("ok"))
+    marked = known.unionByName(rows.join(some, may_hold("id"), "left_anti").select("text", F.lit(0).alias("ok")))
+    grams = marked.select(F.explode(_grams()).alias("gram"), "ok").select(F.pmod(F.hash("gram"), F.lit(buckets)).alias("bucket"), "ok")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("ok").alias("good")).collect()
     raw, good = [0] * buckets, [0] * buckets
     for r in counts:
@@ -61,14 +60,15 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, s
 def quality_rules(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """The base counts, base_failed, llr and kept for every row (doc_id, text).
 
-    A null or wordless text has no words, llr 0 and fails the base rules; a null
-    identifier stays null; repeated rows are judged each; an empty table gives
-    no row; other columns are not read. A document whose llr equals the
-    threshold is kept.
+    A null or wordless text has no words, llr 0 and fails the base rules; a long
+    text is judged whole; a null identifier stays null; repeated rows are judged
+    each; an empty table gives no row; other columns are not read, whatever their
+    names. A document whose llr equals the threshold is kept.
     """
+    docs = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"))
     text = F.col("text")
     has = text.rlike(WORD)
-    trimmed = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    trimmed = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+\\z", "")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.select(
         "doc_id",
@@ -86,10 +86,10 @@ def quality_rules(docs: DataFrame, weights: list[float], threshold: float = THRE
     total = f"coalesce(aggregate(p, struct(0 AS n, 0 AS upto), (a, x) -> struct(a.n + x + {WINDOW} - greatest(x, a.upto) AS n, x + {WINDOW} AS upto), a -> a.n), 0)"
     at = at.withColumn("n_repeat_words", F.expr(total).cast("long")).drop("p")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    grams = _with_grams(at.withColumn("base_failed", failed), len(weights)).drop("text")
+    grams = at.withColumn("base_failed", failed).withColumn("grams", _grams()).drop("text")
     table = F.from_json(F.lit(json.dumps(weights)), "array<double>")
-    total = F.aggregate("__g", F.lit(0.0), lambda a, g: a + F.get(table, g))
-    scored = grams.withColumn("llr", F.when(F.size("__g") > 0, total / F.size("__g")).otherwise(0.0)).drop("__g")
+    total = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(table, F.pmod(F.hash(g), F.lit(len(weights)))))
+    scored = grams.withColumn("llr", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0)).drop("grams")
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
