@@ -7,10 +7,10 @@ Bernoulli draw with the rate's fraction succeeds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, n_words
+from .common import documents, draw, materialize, n_words, own_columns
 
 #: Up to so many sources the table of rates is broadcast (well under 64 MB);
 #: beyond it the rates are joined by a shuffle.
@@ -43,37 +43,43 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     return found.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
-def draw(key: Column, seed: int) -> Column:
-    """A uniform number in [0, 1) from 52 bits of a hash of key and seed."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2**52))
+MADE = ("size", "source_size", "target", "copies")
+
+
+def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...], max_repeats: int, seed: int, broadcast_sources: int) -> DataFrame:
+    """`row`, a struct of all columns of `docs`, beside the columns that are MADE,
+    so that no name of one can hide the other."""
+    sized = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id"), docs[source_col].alias("source"), n_words(docs[text_col].cast("string")).alias("size"))
+    plan = materialize(source_targets(sized.select("source", "size"), weights, max_repeats), "mix-sources").withColumnRenamed("source", "of")
+    if plan.count() <= broadcast_sources:
+        plan = F.broadcast(plan)
+    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("of")), "left")
+    whole = F.floor("rate")
+    extra = F.when(draw(F.col("id"), seed) < F.col("rate") - whole, 1).otherwise(0)
+    return joined.withColumn("copies", (whole + extra).cast("int")).select("row", *MADE)
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 7, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """All rows of `docs` with size, source_size, target and copies.
 
-    `copies` is how often the mix takes a document; `emit` writes them out. A
-    null text has size 0, a null source is a source of its own (the last), a
-    null identifier draws like the empty string, and rows that repeat an
-    identifier share its draw. Sources of size 0 get the target 0. Columns of
-    `docs` that bear a name of the result are replaced.
+    `copies` is how often the mix takes a document; `mixed_rows` gives the rows so
+    often. A null text has size 0 and so has an empty one; a text of any length
+    is counted whole, in one pass over it. A null source is a source of its own
+    (the last), a null identifier draws like the empty string, and rows that
+    repeat an identifier share its draw. Sources of size 0 get the target 0; ties
+    in the order of sources go by code point. An empty table gives no row.
+    Columns of `docs` that bear a name of the result are replaced; all others
+    stay, whatever their names.
     """
-    made = ("size", "source_size", "target", "copies")
-    sized = docs.drop(*made).withColumn("size", n_words(F.col(text_col)))
-    plan = materialize(source_targets(sized.select(F.col(source_col).alias("source"), "size"), weights, max_repeats), "mix-sources")
-    plan = plan.withColumnRenamed("source", "__source")
-    if plan.count() <= broadcast_sources:
-        plan = F.broadcast(plan)
-    joined = sized.join(plan, F.col(source_col).eqNullSafe(F.col("__source")), "left")
-    whole = F.floor("rate")
-    extra = F.when(draw(F.col(id_col), seed) < F.col("rate") - whole, 1).otherwise(0)
-    return joined.withColumn("copies", (whole + extra).cast("int")).drop("__source", "rate")
+    mixed = _mixed(docs, id_col, source_col, text_col, weights, max_repeats, seed, broadcast_sources)
+    return mixed.select(*(F.col("row")[c].alias(c) for c in own_columns(docs, *MADE)), *MADE)
 
 
-def emit(mixed: DataFrame) -> DataFrame:
-    """Each row `copies` times; rows of no copies go."""
-    rows = mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.drop("__copy", "size", "source_size", "target", "copies")
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 7, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+    """The rows of `docs`, all their columns as they are, each as often as the mix
+    takes it (see `mix_sources`); rows of no copies go."""
+    mixed = _mixed(docs, id_col, source_col, text_col, weights, max_repeats, seed, broadcast_sources).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
