@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, draw
 from .tokens import slices
 
 #: At most so many training texts in all, shared evenly by the languages, those
@@ -34,12 +34,18 @@ FAMILIES = {
     "turkic": ("tr", "az", "kk", "uz"),
     "uralic": ("fi", "hu", "et"),
 }
-LETTER = re.compile(r"[^\W\d_]")
+#: What may be a letter; of these, numerals such as Roman ones are none.
+LETTERS = re.compile(r"[^\W\d_]+")
 CHUNK = 2 << 20
-_ROWS = "doc_id long, x binary"
+_ROWS = "lang string, x binary"
 OUT = "doc_id long, lang_pred string, score double"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's category L is in the text."""
+    return any(m[0].isalpha() or any(map(str.isalpha, m[0])) for m in LETTERS.finditer(text))
+
+
 def _count(raw: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
     """Counts of hashed n-grams of one to three bytes; owner is the row of each byte, rows that of gaps."""
     wide = raw.astype(np.uint32)
@@ -103,22 +109,28 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 150)
 def train(docs: DataFrame, max_training: int = MAX_TRAINING) -> dict:
     """Machines for families and for pairs, from text and lang of at most
     `max_training` rows that are not held out; null languages and texts without
-    a letter teach nothing."""
+    a letter teach nothing; rows that repeat an identifier teach each. Beyond
+    `max_training` languages the most frequent are learned.
+
+    A language's rows are those with the lowest hashes of their identifier. A
+    hash bound from its count leaves about twice as many as are wanted, so that
+    only these are ranked and moved.
+    """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
-    langs = [r.lang for r in known.select("lang").distinct().limit(max_training).collect()]
-    if not langs:
+    found = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_training).collect()
+    if not found:
         return {"families": {}, "family": {}, "pair": {}}
-    order = Window.partitionBy("lang").orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), "doc_id")
-    picked = known.select("doc_id", "lang").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= max(1, max_training // len(langs))).select("doc_id", "lang")
-    rows = sorted(((r.doc_id, r.lang) for r in picked.collect()), key=str)
-    of = dict(rows)
-    ids = docs.sparkSession.createDataFrame([(i,) for i in of], "doc_id long")
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_describe, _ROWS).toArrow().to_pylist()
-    got = sorted((r["doc_id"], r["x"]) for r in got if r["x"] is not None)
+    quota = max(1, max_training // len(found))
+    bounds = docs.sparkSession.createDataFrame([(r.lang, (2.0 * quota + 100) / r.n) for r in found], "of string, bound double")
+    drawn = known.select("doc_id", "lang", "text", draw(F.col("doc_id"), 0).alias("u")).join(F.broadcast(bounds), (F.col("lang") == F.col("of")) & (F.col("u") < F.col("bound")))
+    order = Window.partitionBy("lang").orderBy("u", "doc_id", F.xxhash64("text"))
+    picked = drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= quota).select("doc_id", "text", "lang")
+    rows = picked.mapInArrow(_describe, _ROWS).toArrow().to_pylist()
+    got = sorted(((r["lang"], r["x"]) for r in rows if r["x"] is not None))
     if not got:
         return {"families": {}, "family": {}, "pair": {}}
     x = np.array([np.frombuffer(v, "<f4") for _, v in got])
-    lang = np.array([of[i] for i, _ in got])
+    lang = np.array([code for code, _ in got])
     family_of = {code: name for name, codes in FAMILIES.items() for code in codes}
     families: dict[str, list[str]] = {}
     for code in sorted(set(lang)):
@@ -165,8 +177,8 @@ def _describe(batches):
         texts = [t or "" for t in batch.column(1).to_pylist()]
         rows: list = []
         for a, b in slices([len(t) for t in texts], 128, CHUNK):
-            rows += [v.astype("<f4").tobytes() if LETTER.search(t) else None for t, v in zip(texts[a:b], vectors(texts[a:b]))]
-        yield pa.record_batch([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "x"])
+            rows += [v.astype("<f4").tobytes() if has_letter(t) else None for t, v in zip(texts[a:b], vectors(texts[a:b]))]
+        yield pa.record_batch([batch.column(2), pa.array(rows, pa.binary())], ["lang", "x"])
 
 
 def _predict(model: dict):
@@ -176,7 +188,7 @@ def _predict(model: dict):
             found: list = []
             for a, b in slices([len(t) for t in texts], 128, CHUNK):
                 part = predict(vectors(texts[a:b]), model)
-                found += [p if LETTER.search(t) else (UNKNOWN, 0.0) for t, p in zip(texts[a:b], part)]
+                found += [p if has_letter(t) else (UNKNOWN, 0.0) for t, p in zip(texts[a:b], part)]
             yield pa.record_batch([batch.column(0), pa.array([c for c, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
@@ -189,9 +201,11 @@ def held_out(doc_id) -> F.Column:
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row.
 
-    A text that is null or has no letter is `und` with score 0, and so is every
-    text where nothing was learned; ties go to the first code; repeated rows are
-    predicted alike; a null identifier stays null; an empty table gives no row.
+    A text that is null or has no letter (Unicode category L) is `und` with score
+    0, and so is every text where nothing was learned; ties go to the first code;
+    repeated rows are predicted alike; a null identifier stays null; a long text
+    is counted whole, in overlapping pieces; an empty table gives no row; other
+    columns are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_predict(model), OUT)
