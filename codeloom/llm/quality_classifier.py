@@ -2,7 +2,7 @@
 
 All preference pairs (a row of label 1 over a row of label 0) give a logistic loss
 on feature differences; its weights score every document. A quantile of the
-training scores becomes the threshold, and the score in [0, 1] is a logistic of
+training scores gives the threshold, and the score in [0, 1] is a logistic of
 the distance to it.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, unused
 
 #: At most so many labelled rows are fitted on, those first by a hash of their identifier.
 MAX_LABELLED = 20_000
@@ -62,7 +62,9 @@ def _describe(batches):
 
 
 def fit_ranking(x: np.ndarray, good: np.ndarray, ridge: float = 1e-3) -> dict:
-    """Weights of the logistic loss over all pairs, and the threshold as a quantile."""
+    """Weights of the logistic loss over all pairs, and the threshold: the quantile
+    of the training scores that errs least, moved to the middle between the scores
+    on both sides of it where it parts the labels."""
     mean, spread = x.mean(axis=0), x.std(axis=0)
     spread[spread < 1e-9] = 1.0
     z = (x - mean) / spread
@@ -114,12 +116,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """Fit on at most `max_labelled` labelled rows that are not held out.
 
     Rows of null label or identifier are left out; a document labelled twice
-    counts once for each label; without labels everything scores above the
-    threshold.
+    counts once for each label; of rows that repeat an identifier the one with
+    the least features counts; without labels everything scores above the
+    threshold. Ties in the order of labelled rows go by identifier and label.
     """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
     sample = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "quality").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(_describe, _ROWS).toArrow().to_pylist()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(_describe, _ROWS).groupBy("doc_id").agg(F.min("x").alias("x")).toArrow().to_pylist()
     labelled: dict[int, list[int]] = {}
     for r in sample.collect():
         labelled.setdefault(r.doc_id, []).append(r.quality)
@@ -129,30 +132,38 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     return fit_ranking(np.array([np.frombuffer(x, "<f8") for _, x, _ in found]), np.array([q == 1 for *_, q in found]))
 
 
-def _score(model: dict):
+def _score(model: dict, name: str):
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            scores = [score_of(features(t.as_py()), model) for t in batch.column(at)]
-            kept = [c for i, c in enumerate(batch.columns) if i != at]
-            names = [n for i, n in enumerate(batch.schema.names) if i != at]
-            yield pa.record_batch([*kept, pa.array(scores, pa.float64())], [*names, "__score"])
+            scores = [score_of(features(t.as_py()), model) for t in batch.column(batch.num_columns - 1)]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], name])
 
     return run
 
 
+def _scored(docs: DataFrame, model: dict, keep: list[str], score: str) -> DataFrame:
+    """The columns `keep` and `score`; the text goes to Python once more."""
+    (text,) = unused([*keep, score], "text")
+    rows = docs.select(*(docs[c] for c in keep), docs["text"].cast("string").alias(text))
+    return rows.mapInArrow(_score(model, score), rows.select(*keep).schema.add(score, "double"))
+
+
 def score_quality(docs: DataFrame, model: dict, columns: list[str] | None = None) -> DataFrame:
     """`columns` of every row of `docs` (default: all) with score and predicted.
 
-    A null text scores like the empty one; ties with the threshold are predicted
-    1; repeated rows score alike; an empty table gives no row. Columns of `docs`
-    named score or predicted are replaced.
+    A null text scores like the empty one; a text of any length is read whole;
+    ties with the threshold are predicted 1; repeated rows score alike; a null
+    identifier stays null; an empty table gives no row. Columns of `docs` named
+    score or predicted are replaced; all others stay, whatever their names.
     """
-    keep = [c for c in (columns or docs.columns) if c not in ("score", "predicted")]
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    fields = rows.select(*keep).schema.add("__score", "double")
-    scored = rows.mapInArrow(_score(model), fields).withColumnRenamed("__score", "score")
-    return scored.withColumn("predicted", (F.col("score") >= AT_THRESHOLD).cast("int"))
+    keep = [c for c in (columns or docs.columns) if c.lower() not in ("score", "predicted")]
+    return _scored(docs, model, keep, "score").withColumn("predicted", (F.col("score") >= AT_THRESHOLD).cast("int"))
+
+
+def accepted_rows(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of `docs` that are predicted 1, all their columns as they are."""
+    (score,) = unused(docs.columns, "score")
+    return _scored(docs, model, docs.columns, score).where(F.col(score) >= AT_THRESHOLD).drop(score)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
