@@ -73,8 +73,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_
 
     Sequences hold `window` ids; all are full but the last, which the loader
     pads. A null text is empty and gives the end id alone; rows that repeat an
-    identifier are packed each; a null identifier stays null; an empty table
-    gives no piece; other columns are not read.
+    identifier are packed each; a null identifier stays null; a long text is cut
+    at every window; an empty table gives no piece; other columns are not read,
+    whatever their names.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

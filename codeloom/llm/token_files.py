@@ -23,7 +23,7 @@ from .tokens import encoder, slices
 
 SEQUENCE = 2048
 ROWS = 128  # sequences in a record batch
-MANIFEST = "part int, n_docs long, n_tokens long"
+MANIFEST = "part int, n_docs long, n_tokens long, name string"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -31,13 +31,6 @@ def _place(url: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(url if urlparse(url).scheme else f"file://{url}")
 
 
-def _publish(fs: pafs.FileSystem, made: str, to: str) -> None:
-    """A finished file gets its name at once; what an earlier attempt left goes."""
-    if fs.get_file_info(to).type != pafs.FileType.NotFound:
-        fs.delete_file(to)
-    fs.move(made, to)
-
-
 class SequenceWriter:
     """Cuts a stream of ids into equal-length sequences with masks."""
 
@@ -112,9 +105,9 @@ def _write_part(path: str, tokenizer: str, end_id: int, sequence: int):
     def run(batches):
         fs, folder = _place(path)
         fs.create_dir(folder, recursive=True)
-        coder, part, attempt = encoder(tokenizer), TaskContext.get().partitionId(), uuid.uuid4().hex
-        made = [f"{folder}/.{attempt}.{kind}" for kind in ("ids", "docs")]
-        ids_sink, docs_sink = (fs.open_output_stream(x) for x in made)
+        coder, part = encoder(tokenizer), TaskContext.get().partitionId()
+        name = f"part-{part:06d}-{uuid.uuid4().hex}"
+        ids_sink, docs_sink = (fs.open_output_stream(f"{folder}/{name}.{kind}") for kind in ("arrow", "docs.arrow"))
         writer = SequenceWriter(ids_sink, coder.dtype, sequence)
         docs = pa.ipc.new_file(docs_sink, schema := pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]))
         n_docs = 0
@@ -132,24 +125,25 @@ def _write_part(path: str, tokenizer: str, end_id: int, sequence: int):
                 n_docs += b - a
         writer.close()
         docs.close()
-        for sink, x, kind in ((ids_sink, made[0], "arrow"), (docs_sink, made[1], "docs.arrow")):
-            sink.close()
-            _publish(fs, x, f"{folder}/part-{part:06d}.{kind}")
-        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([n_docs], pa.int64()), pa.array([writer.total], pa.int64())], ["part", "n_docs", "n_tokens"])
+        ids_sink.close()
+        docs_sink.close()
+        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([n_docs], pa.int64()), pa.array([writer.total], pa.int64()), pa.array([name])], ["part", "n_docs", "n_tokens", "name"])
 
     return run
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE) -> DataFrame:
     """Write the ids of all documents below `path`; returns the manifest
-    (part, n_docs, n_tokens, base), base being the ids in the parts before.
+    (part, n_docs, n_tokens, name, base), base being the ids in the parts before.
 
     Documents go in ascending order of identifier, nulls first, rows that repeat
     one by a hash of their text. A null text is empty and holds the end id
-    alone. An empty table writes files of no sequence. Other columns are not
-    read. A retried task writes the same files under the same names.
+    alone; a long text runs over as many sequences as it takes. An empty table
+    writes files of no sequence. Other columns are not read, whatever their
+    names. Each attempt of a task writes files of its own name, and the manifest
+    names those of the attempt that Spark committed.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(F.col("doc_id").asc(), tie).sortWithinPartitions(F.col("doc_id").asc(), tie)
     manifest = materialize(ordered.mapInArrow(_write_part(path, tokenizer, end_id, sequence), MANIFEST), "token-manifest")
@@ -161,9 +155,9 @@ def _read_part(path: str):
     def run(batches):
         fs, folder = _place(path)
         for batch in batches:
-            for part, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                reader = SequenceReader(fs, f"{folder}/part-{part:06d}.arrow")
-                index = pa.ipc.open_file(fs.open_input_file(f"{folder}/part-{part:06d}.docs.arrow"))
+            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                reader = SequenceReader(fs, f"{folder}/{name}.arrow")
+                index = pa.ipc.open_file(fs.open_input_file(f"{folder}/{name}.docs.arrow"))
                 for k in range(index.num_record_batches):
                     docs = index.get_batch(k)
                     starts, counts, sums = docs.column(1).to_numpy(), docs.column(2).to_numpy(), []
@@ -180,7 +174,7 @@ def _read_part(path: str):
 def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
     files = max(1, manifest.count())
-    return manifest.select("part", "base").repartitionByRange(files, "part").mapInArrow(_read_part(path), READ)
+    return manifest.repartitionByRange(files, "part").select("name", "base").mapInArrow(_read_part(path), READ)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

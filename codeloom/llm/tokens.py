@@ -18,7 +18,9 @@ import numpy as np
 UNPLAIN = re.compile(r"[ \n][ \n]|[ \n]\Z|\A[ \n]|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
 #: A word of Latin letters (each one code point under NFC) and marks after it.
 LETTERS = re.compile(r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+)([.,!?;:&%$*#|]*)")
+#: Pieces that are remembered at once, and the most characters of one.
 MEMO_PIECES = 1_200_000
+MEMO_LENGTH = 64
 
 
 def _byte_letters() -> str:
@@ -62,8 +64,10 @@ class Encoder:
 
     def _learn(self, piece: str) -> bytes:
         memo, marks = self.memo, self.marks
-        if not (m := LETTERS.fullmatch(piece)):
-            memo[piece] = ids = self._whole(piece if self.words_alone or piece[:1] == "\n" else " " + piece)
+        if len(piece) > MEMO_LENGTH or not (m := LETTERS.fullmatch(piece)):
+            ids = self._whole(piece if self.words_alone or piece[:1] == "\n" else " " + piece)
+            if len(piece) <= MEMO_LENGTH:
+                memo[piece] = ids
             return ids
         line, word, after = m.groups()
         core = word.lower() if self.words_alone else line + word
