@@ -85,10 +85,14 @@ def spans_of(text: str, coder, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = sorted(found)
+    base, near, upto = sorted(found), [], 0
     for m in RUN.finditer(text):
         at = m.start()
-        free = lambda a, b: not any(x < at + b and at + a < y for x, _, y in base)  # noqa: B023, E731
+        near = [s for s in near if s[2] > at]  # base spans that may touch this run: both are swept in order
+        while upto < len(base) and base[upto][0] < m.end():
+            near.append(base[upto])
+            upto += 1
+        free = lambda a, b: not any(x < at + b and at + a < y for x, _, y in near)  # noqa: B023, E731
         found += [(at + a, 3, at + b) for a, b in dense_in(m[0], coder, most, free)]
     return sorted(found)
 
@@ -114,9 +118,9 @@ def _scan(path: str, most: float):
 def scan_secrets(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", max_chars_per_token: float = MAX_CHARS_PER_TOKEN) -> DataFrame:
     """Counts and spans of every row.
 
-    A null or empty text has no span; a null identifier stays null; repeated
-    rows are scanned each; an empty table gives no row; other columns are not
-    read. A span of the method that touches a base span is left to the base
+    A null or empty text has no span; a long text is scanned whole; a null
+    identifier stays null; repeated rows are scanned each; an empty table gives
+    no row; other columns are not read, whatever their names. A span of the method that touches a base span is left to the base
     span. Offsets count code points, ends are exclusive, and spans that begin
     together are in the order of KINDS.
     """
