@@ -454,16 +454,15 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     places = materialize(found.join(grams, "gram"), "places")
     release(found)
     first = F.min(F.struct("key", "pos"))
-    members = places.groupBy("gram", "context").agg(F.sum("n").alias("n"), first.alias("at"), F.max("key").alias("last"), F.max("left").alias("left"), F.max("right").alias("right"), F.max("rows").alias("rows"))
+    members = places.groupBy("gram", "context").agg(F.sum("n").alias("n"), first.alias("at"), F.max("key").alias("last"), F.max("left").alias("left"), F.max("right").alias("right"), F.max("rows").alias("rows"), F.count("*").alias("own"))
     members = materialize(members, "contexts")
     # the same context twice: all of it repeats, as far as a string through the anchor can reach
     again = F.when(F.col("gram").bitwiseAND(1) == 1, F.col("at.key") != F.col("last")).otherwise(F.col("n") > 1)
     twice = members.where(again).select("gram", "context", F.col("left").alias("l"), F.col("right").alias("r"))
-    many = members.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
     little = F.concat(F.substring("at.pos", 4, 1), F.substring("at.pos", 3, 1), F.substring("at.pos", 2, 1), F.substring("at.pos", 1, 1))
     owner = F.when(F.col("at.key") == F.col("last"), F.col("last")).otherwise(F.xxhash64("gram", "context"))
-    several = members.select("gram", "context", "rows", "at", "last").join(many, "gram", "left_semi")
-    asked = materialize(several.select(F.col("at.key").alias("key"), "gram", "context", "rows", owner.alias("owner"), F.conv(F.hex(little), 16, 10).cast("long").alias("pos")), "asked")
+    # where a gram has more rows than this context of it, there are other contexts
+    asked = materialize(members.where("own < rows").select(F.col("at.key").alias("key"), "gram", "context", "rows", owner.alias("owner"), F.conv(F.hex(little), 16, 10).cast("long").alias("pos")), "asked")
     wanted = asked.groupBy("key").agg(F.collect_list(F.struct("gram", "context", "owner", "pos")).alias("wanted"))
     texts = rows.select("key", "text").join(key_filter(asked, "key"), may_hold("key"), "left_semi").hint("merge").join(wanted, "key").select("text", "wanted")
     cut = texts.mapInArrow(_cut_contexts(scales), _CONTEXTS)
