@@ -43,16 +43,24 @@ def test_token_files_round_trip(spark):
     assert sorted(map(tuple, read_token_files(manifest, path).collect())) == want
     fs, folder = _place(path)
     part = max(manifest.collect(), key=lambda r: r.n_tokens)
-    reader = SequenceReader(fs, f"{folder}/part-{part.part:06d}.arrow")
+    reader = SequenceReader(fs, f"{folder}/{part.name}.arrow")
     ids, mask = reader.sequence_at((part.n_tokens - 1) // 64)
     assert len(ids) == 64 and mask.sum() == (part.n_tokens - 1) % 64 + 1 and not ids[~mask].any()
+    odd = spark.createDataFrame([(7, "b b"), (None, "z"), (7, "b b"), (7, None), (None, "")], "doc_id long, text string").repartition(2)
+    path = shared_dir(spark, "test-files")
+    rows = sorted(read_token_files(write_token_files(odd, path, public_tokenizers.path("word_bpe_49k.json"), 1), path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, 7, 7, 7] and [r.start for r in rows][1:] == np.cumsum([r.n_tokens for r in rows])[:-1].tolist()
+    crcs = [zlib.crc32(i.tobytes()) for i in _ids("word_bpe_49k.json", 1, ["z", "", "b b", "b b", None])]
+    assert sorted(r.ids_crc32 for r in rows) == sorted(crcs)
     empty = shared_dir(spark, "test-files")
     assert read_token_files(write_token_files(docs.limit(0), empty, public_tokenizers.path("word_bpe_49k.json"), 1), empty).count() == 0
 
 
 def test_packing_round_trip(spark):
     texts = ODD + ["again", "again"]
-    docs = spark.createDataFrame([(i if i < len(ODD) else 900, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    docs = spark.createDataFrame([(i if i < len(ODD) else 900, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, ids int").repartition(5)
+    none = spark.createDataFrame([(None, "x"), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.length) for r in pack(none, public_tokenizers.path("byte_bpe_50k.json"), 0).collect()) == [(None, 1), (None, 2)]
     rows = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, window=50).collect()
     ids = {**dict(enumerate(_ids("byte_bpe_50k.json", 0, ODD))), 900: _ids("byte_bpe_50k.json", 0, ["again"])[0]}
     held: dict[int, list] = {}

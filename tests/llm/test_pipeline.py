@@ -59,4 +59,6 @@ def test_stages(spark, tmp_path):
     ids = {i: np.array([*library.encode(texts[i], add_special_tokens=False).ids, 0], "<u4") for i in set(kept[3])}
     assert sum(p.length for p in pieces) == sum(len(ids[i]) for i in kept[3])
     assert all(zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes()) == p.ids_crc32 for p in pieces)
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
+    # unwritten stages hand their rows on in another order, which moves the cuts but not what is packed
+    held = lambda rows: (sorted({(r.doc_id, r.doc_tokens) for r in rows}), sum(r.length for r in rows), max(r.sequence_id for r in rows))
+    assert held(corpus_pipeline.run(spark, str(tmp_path)).collect()) == held(pieces)

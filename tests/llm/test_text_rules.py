@@ -1,13 +1,15 @@
 """op6, op7, op8 and op1 against brute force on small tables."""
 
 import hashlib
+import math
 import re
 
 import pytest
+import regex
 
 from codeloom.llm.exact_dedup import RadixTrie, exact_dedup
-from codeloom.llm.mixing import emit, mix_sources
-from codeloom.llm.quality_rules import ngram_weights, quality_rules
+from codeloom.llm.mixing import mix_sources, mixed_rows
+from codeloom.llm.quality_rules import GRAM, ngram_weights, quality_rules
 from codeloom.llm.secrets import scan_secrets, spans_of, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -61,6 +63,65 @@ def test_base_rules(spark):
     assert quality_rules(docs.limit(0), [0.0] * 8).count() == 0
 
 
+ENDS = [f"{words}{blank}{mark}" for words in ("abc", "a b", "") for blank in (" ", "\n", "\t", "\r\n", "") for mark in ("\x85", "\u2028", "\u2029", "\n", "\r", "\x0b", "", "\u2028 ", " \x85 ")]
+
+
+def test_every_end_of_a_text(spark):
+    texts = [x + y for x in ENDS for y in ("", " " + LINE)]
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules(table(spark, texts), [0.0] * 8).collect()}
+    assert got == {i: base_rules(t) for i, t in enumerate(texts)}
+
+
+def murmur(raw, seed=42):
+    """Spark's 32-bit hash of a string's bytes."""
+    m32 = 0xFFFFFFFF
+
+    def mixed(k, h):
+        k = k * 0xCC9E2D51 & m32
+        k = (k << 15 | k >> 17) & m32
+        h ^= k * 0x1B873593 & m32
+        return ((h << 13 | h >> 19) * 5 + 0xE6546B64) & m32
+
+    h, whole = seed & m32, len(raw) // 4 * 4
+    for i in range(0, whole, 4):
+        h = mixed(int.from_bytes(raw[i : i + 4], "little"), h)
+    for b in raw[whole:]:
+        h = mixed((b - 256 if b > 127 else b) & m32, h)
+    h ^= len(raw)
+    h = (h ^ h >> 16) * 0x85EBCA6B & m32
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m32
+    return (h ^ h >> 16) & m32
+
+
+def buckets_of(text, n):
+    hashes = [murmur(m[1].encode()) for m in regex.finditer(GRAM.replace(r"\s", r"[ \t\n\x0b\f\r]"), text or "", regex.V1)]
+    return [(h - (1 << 32) if h >> 31 else h) % n for h in hashes]
+
+
+def test_likelihood_ratio_and_verdict(spark):
+    texts = TEXTS + [" ".join(f"t{(i * k) % 30}" for k in range(30)) + ("!" * i) for i in range(20)] + ["é|ß " * 30]
+    docs, n = table(spark, texts), 128
+    good = {9, 10, 12, 15, 20}
+    weights = ngram_weights(docs, spark.createDataFrame([(i,) for i in good] + [(None,)], "doc_id long"), buckets=n)
+    held = [buckets_of(t, n) for t in texts]
+    raw, ok = [1.0] * n, [1.0] * n
+    for i, own in enumerate(held):
+        for b in own:
+            raw[b] += 1
+            ok[b] += i in good
+    want = [math.log(a / sum(ok)) - math.log(b / sum(raw)) for a, b in zip(ok, raw)]
+    assert weights == pytest.approx(want)
+    llr = [sum(want[b] for b in own) / len(own) if own else 0.0 for own in held]
+    at = sorted(llr)[len(llr) // 2]
+    rows = {r.doc_id: r for r in quality_rules(docs, weights, at).collect()}
+    for i, x in enumerate(llr):
+        assert rows[i].llr == pytest.approx(x)
+        if abs(x - at) > 1e-9:
+            assert rows[i].kept == (x > at and not base_rules(texts[i])[5])
+    flat = quality_rules(docs, [0.5] * 4, 0.5).where("n_words > 0")
+    assert {r.kept == (not r.base_failed) for r in flat.collect()} == {True}  # a ratio at the threshold stays
+
+
 def test_likelihood_ratio_tells_junk(spark):
     clean = [" ".join(f"good{(i * k) % 50}" for k in range(40)) for i in range(1, 40)]
     junk = [" ".join(f"good{(i * k) % 50}*** |" for k in range(40)) for i in range(1, 10)]
@@ -96,10 +157,15 @@ def test_trie(tmp_path, limit):
     keys = [b"", b"a", b"ab", b"abc", b"abd", b"b" * 500, b"b" * 499 + b"c", *(f"k{i % 60}".encode() * (i % 7) for i in range(400))]
     want = {}
     for i, k in enumerate(keys * 3):
-        trie.insert(k, i)
-        low, n = want.get(k, (i, 0))
-        want[k] = (min(low, i), n + 1)
-    assert {k: (o, n) for k, o, n in trie.items()} == want
+        owner = None if i % 5 == 0 else i // 2
+        trie.insert(k, owner)
+        want.setdefault(k, []).append(owner)
+    for k, owner, ties, n in trie.items():
+        ids = want.pop(k)
+        known = [x for x in ids if x is not None]
+        least = min(known) if known else None
+        assert (owner, ties, n) == (least, ids.count(least), len(ids))
+    assert not want
     assert not list(tmp_path.iterdir())
 
 
@@ -116,7 +182,11 @@ def test_exact_dedup(spark):
         assert (r.keep_id, r.group_size, r.kept) == (own[0], len(own), own[0] == r.doc_id)
         assert r.text_sha256 == hashlib.sha256(norm(texts[r.doc_id]).encode()).hexdigest()
     odd = spark.createDataFrame([(None, "q"), (5, "q"), (5, "q"), (None, "r")], "doc_id long, text string")
-    assert sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in exact_dedup(odd).collect()) == [(-1, -1, 1, True), (-1, 5, 3, False), (5, 5, 3, True), (5, 5, 3, True)]
+    assert sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in exact_dedup(odd).collect()) == [(-1, -1, 1, True), (-1, 5, 3, False), (5, 5, 3, False), (5, 5, 3, True)]
+    none = spark.createDataFrame([(None, "q ")] * 40 + [(None, "q\n"), (None, None), (None, "")], "doc_id long, text string").repartition(4)
+    assert sorted((r.group_size, r.kept) for r in exact_dedup(none).collect()) == [(2, False), (2, True)] + [(41, False)] * 40 + [(41, True)]
+    long = spark.createDataFrame([(1, "y " * 200000), (2, "y\t" * 200000), (3, "y " * 199999)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in exact_dedup(long).collect()) == [(1, 1, True), (2, 1, False), (3, 3, True)]
     assert exact_dedup(odd.limit(0)).count() == 0
 
 
@@ -145,6 +215,6 @@ def test_mixing(spark):
     assert all(abs(taken[s] - want[s]) < 0.2 * want[s] + 40 for s in sizes)
     again = mix_sources(docs.repartition(7), broadcast_sources=0).collect()
     assert sorted((r.doc_id, r.copies) for r in rows) == sorted((r.doc_id, r.copies) for r in again)
-    out = emit(mix_sources(docs))
+    out = mixed_rows(docs)
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in rows)
     assert mix_sources(docs.limit(0)).count() == 0
