@@ -4,53 +4,52 @@ Five stages, each over all rows that the one before kept: quality classifier
 (rejected documents go), exact dedup, near-duplicate join (the smallest
 identifier of each component stays), mixing of sources to target weights, and
 packing. The last stage returns boundary records, the others the columns of
-documents.
+documents, whatever else these are called. Texts are read whole, however long;
+an empty table passes every stage as one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm.common import documents
-from codeloom.llm.exact_dedup import exact_dedup
-from codeloom.llm.jaccard_join import jaccard_components
-from codeloom.llm.mixing import emit, mix_sources
+from codeloom.llm.exact_dedup import distinct_rows
+from codeloom.llm.jaccard_join import near_distinct_rows
+from codeloom.llm.mixing import mixed_rows
 from codeloom.llm.packing import pack
-from codeloom.llm.quality_classifier import score_quality, train
+from codeloom.llm.quality_classifier import accepted_rows, train
 
 #: A trained classifier and a tokenizer have no SQL form; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts 1."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+    """Documents that the quality classifier predicts 1. A null text is judged as
+    the empty one, repeated rows alike; a null identifier stays as it is."""
+    return accepted_rows(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row, with the smallest identifier; op8 keeps all rows
-    that repeat it or have none, so ties go by the other columns."""
-    first = Window.partitionBy("text_sha256").orderBy("doc_id", *(c for c in docs.columns if c != "doc_id"))
-    kept = exact_dedup(docs).where("kept").withColumn("__row", F.row_number().over(first))
-    return kept.where("__row = 1").select(*docs.columns)
+    """Of equal texts (null equals empty) one row, with the smallest identifier,
+    a null one only where there is no other; of rows that tie, any one."""
+    return distinct_rows(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the document with the smallest identifier; documents
-    without an identifier stay."""
-    gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of near duplicates the row with the smallest identifier, nulls last;
+    texts without words stay."""
+    return near_distinct_rows(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for."""
-    return emit(mix_sources(docs)).select(*docs.columns)
+    """Each document as often as its source's target asks for; a null source is
+    one of its own, texts without words go or stay by the same rate."""
+    return mixed_rows(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boundary records of the documents in sequences of 1024 ids."""
+    """Boundary records of the documents in sequences of 1024 ids; a null text
+    gives the end id alone, repeated rows are packed each."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
