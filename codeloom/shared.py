@@ -32,19 +32,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder.
 
-    The shuffles behind it are not needed any more; a collection on the driver
-    lets Spark remove their files.
+    The shuffles behind it are not needed any more; where they are large (`tidy`),
+    a collection on the driver lets Spark remove their files.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._codeloom_path = path
-    del df
-    spark._jvm.System.gc()
+    if tidy:
+        del df
+        spark._jvm.System.gc()
     return out
 
 
