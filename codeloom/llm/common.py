@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import materialize, release, shared_dir  # noqa: F401 (shared_dir is for the operators)
+from .. import shared
+from ..shared import release, shared_dir  # noqa: F401 (shared_dir is for the operators)
 
 #: The word and white-space classes of every contract, for Java and Python alike.
 SPACE = r"[\x20\x09-\x0D]"
@@ -17,6 +18,11 @@ WORD = r"[^\x20\x09-\x0D]"
 FILTER = 1 << 19
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder; the shuffles behind it may go."""
+    return shared.materialize(df, name, tidy=True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole `documents` table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

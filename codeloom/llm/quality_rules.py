@@ -44,7 +44,8 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, s
     ids = materialize(trusted.select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL").distinct(), "trusted")
     rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"))
     some = key_filter(ids, "id")
-    known = rows.join(some, may_hold("id"), "left_semi").join(ids.withColumn("ok", F.lit(1)), "id", "left").select("text", F.coalesce("ok", F.lit(0)).alias("ok"))
+    # merged at every size: a broadcast that small tables get would not last
+    known = rows.join(some, may_hold("id"), "left_semi").hint("merge").join(ids.withColumn("ok", F.lit(1)), "id", "left").select("text", F.coalesce("ok", F.lit(0)).alias("ok"))
     marked = known.unionByName(rows.join(some, may_hold("id"), "left_anti").select("text", F.lit(0).alias("ok")))
     grams = marked.select(F.explode(_grams()).alias("gram"), "ok").select(F.pmod(F.hash("gram"), F.lit(buckets)).alias("bucket"), "ok")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("ok").alias("good")).collect()
