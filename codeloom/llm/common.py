@@ -68,18 +68,20 @@ def may_hold(*columns: str):
     return F.expr(f"getbit(get(key_bits, {at}), {bit}) = 1")
 
 
-def rows_without(rows: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+def rows_without(rows: DataFrame, gone: DataFrame, *keys: str, by: tuple[str, ...] = ()) -> DataFrame:
     """`rows` but those whose keys are in `gone` (a plain table; nulls are equal).
 
-    Rows that a filter clears are not shuffled.
+    Rows that a filter over the keys (or those in `by`, where the others cost
+    much to make) clears are not shuffled.
     """
-    some = key_filter(gone, *keys)
+    by = by or keys
+    some = key_filter(gone, *by)
     named = gone.select(*(F.col(k).alias(f"gone_{k}") for k in keys)).distinct()
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"gone_{k}"))
-    doubtful = rows.join(some, may_hold(*keys), "left_semi").join(named, same, "left_anti")
-    return rows.join(some, may_hold(*keys), "left_anti").unionByName(doubtful)
+    doubtful = rows.join(some, may_hold(*by), "left_semi").join(named, same, "left_anti")
+    return rows.join(some, may_hold(*by), "left_anti").unionByName(doubtful)
 
 
 def n_words(text) -> F.Column:

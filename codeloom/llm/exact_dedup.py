@@ -273,7 +273,7 @@ def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if _repeats(owners):
         return _judged(docs, owners, id_col, text_col).where("kept").select(*columns)
     gone = _hashed(docs, id_col, text_col).join(owners, ["n_bytes", "sha"]).where(~F.col("id").eqNullSafe(F.col("keep_id")))
-    return rows_without(_hashed(docs, id_col, text_col, _row(docs)), materialize(gone.select("id", "sha"), "exact-copies"), "id", "sha").select(*columns)
+    return rows_without(_hashed(docs, id_col, text_col, _row(docs)), materialize(gone.select("id", "sha"), "exact-copies"), "id", "sha", by=("id",)).select(*columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
