@@ -91,7 +91,9 @@ def quality_rules(docs: DataFrame, weights: list[float], threshold: float = THRE
     table = F.from_json(F.lit(json.dumps(weights)), "array<double>")
     total = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(table, F.pmod(F.hash(g), F.lit(len(weights)))))
     scored = grams.withColumn("llr", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0)).drop("grams")
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    judged = scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    # a generator, so that no later filter is pushed below and evaluates the arrays word by word
+    return judged.select(F.inline(F.array(F.struct(*judged.columns))))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
