@@ -12,8 +12,8 @@ a dual traversal drops node pairs whose largest possible overlap is too small.
 The first traversal works on bitmaps alone and yields candidate components; the
 second holds the full sets of one component and tests every pair that bitmaps
 leave, but for pairs already joined. Both emit one edge for each class at most,
-never all pairs of a group; in groups above `BLOCK` members all meet the smallest
-one first, and what is left over meets the rest in blocks.
+never all pairs of a group; groups above `BLOCK` members are compared in pairs of
+blocks.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, documents, key_filter, materialize, may_hold, release, rows_without
+from .common import connected_components, documents, key_filter, materialize, may_hold, rows_without
 
 WORDS = 5
 LOWEST = 24
@@ -73,9 +73,9 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return _mix(np.add.reduceat(values, starts) + (ends - starts).astype(np.uint64) * _M)
 
 
-def shingles(text: str | bytes | None, words: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted distinct shingle hashes of a whole text."""
-    h = word_hashes((text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")).lower())
+    h = word_hashes((text or "").encode("utf-8", "replace").lower())
     if not len(h):
         return h
     size = min(words, len(h))
@@ -196,40 +196,16 @@ def _leaves(a: SignatureTree, i: int, b: SignatureTree, j: int, joined: Joined,
             joined.join(p, q)
 
 
-def sets_link(a: np.ndarray, b: np.ndarray) -> bool:
-    """The exact test of two sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a) or not _may_link(len(a), len(a), len(b)):
-        return False
-    at = np.searchsorted(b, a)
-    return bool(_may_link(int((b[np.minimum(at, len(b) - 1)] == a).sum()), len(a), len(b)))
-
-
-def maps_may_link(a: bytes, size_a: int, b: bytes, size_b: int) -> bool:
-    """Whether two bitmaps leave room for a link; the wider one is folded."""
-    x, y = (np.frombuffer(m, np.uint64) for m in (a, b))
-    while len(x) != len(y):
-        if len(x) > len(y):
-            x = x[: len(x) // 2] | x[len(x) // 2 :]
-        else:
-            y = y[: len(y) // 2] | y[len(y) // 2 :]
-    count = lambda m: int(np.bitwise_count(m).sum())
-    most = count(x & y) + min(size_a - count(x), size_b - count(y))
-    return bool(_may_link(min(most, size_a, size_b), size_a, size_b))
-
-
-def link_group(ids: list[int], sizes: list[int], maps: list[np.ndarray], sets: list[np.ndarray] | None = None, known: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Edges (member, smallest member) of the components of one group; members
-    that are `known` to be of one component are joined from the start."""
+def link_group(ids: list[int], sizes: list[int], maps: list[np.ndarray], sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Edges (member, smallest member) of the components of one group."""
     n = len(ids)
     joined = Joined(n)
-    if known:
-        at = np.flatnonzero(known)
-        joined.parent[at] = at[0] if len(at) else 0
 
     def test(p: int, q: int) -> bool:
-        return sets_link(sets[p], sets[q])
+        a, b = (sets[p], sets[q]) if len(sets[p]) <= len(sets[q]) else (sets[q], sets[p])
+        at = np.searchsorted(b, a)
+        overlap = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+        return _may_link(overlap, len(a), len(b))
 
     first: dict[int, int] = {}  # rows of one identifier are one node
     for k, i in enumerate(ids):
@@ -272,93 +248,21 @@ def _edge_batches(found):
         yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["src", "dst"])
 
 
-class Bitmaps:
-    """Members as bitmaps alone: what these leave counts as a link."""
-
-    def link(self, rows: list[tuple]) -> list[tuple[int, int]]:
-        return link_group([r[0] for r in rows], [r[1] for r in rows], [np.frombuffer(r[2], np.uint8) for r in rows], None, [r[3] for r in rows])
-
-    def described(self, size: int, body: bytes):
-        return size, body
-
-    def near(self, a, b) -> bool:
-        return maps_may_link(a[1], a[0], b[1], b[0])
-
-
-class Texts:
-    """Members as whole texts, tested by their full sets."""
-
-    def __init__(self, words: int):
-        self.words = words
-
-    def link(self, rows: list[tuple]) -> list[tuple[int, int]]:
-        sets = [self.described(*r[1:3]) for r in rows]
-        return link_group([r[0] for r in rows], [len(s) for s in sets], [bitmap(s, 8) for s in sets], sets, [r[3] for r in rows])
-
-    def described(self, size: int, body: bytes) -> np.ndarray:
-        return shingles(body, self.words)
+def _by_bitmaps(batches):
+    yield from _edge_batches(link_group([r[0] for r in g], [r[1] for r in g], [np.frombuffer(r[2], np.uint8) for r in g]) for g in _groups(batches, 2))
 
-    def near(self, a: np.ndarray, b: np.ndarray) -> bool:
-        return sets_link(a, b)
 
-
-def _link_groups(kind):
+def _by_sets(words: int):
     def run(batches):
-        yield from _edge_batches(kind.link(g) for g in _groups(batches, 2))
-
-    return run
-
+        def solve(g):
+            sets = [shingles(text, words) for _, text in g]
+            return link_group([i for i, _ in g], [len(s) for s in sets], [bitmap(s, 8) for s in sets], sets)
 
-def _to_centers(kind):
-    """Each member against the center of its group."""
-
-    def run(batches):
-        said, center = None, None
-        for batch in batches:
-            groups, nodes, sizes, centers, center_sizes = (batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5))
-            linked = []
-            for k, node in enumerate(nodes):
-                if said != centers[k]:
-                    said, center = centers[k], kind.described(center_sizes[k], batch.column(6)[k].as_py())
-                linked.append(node == said or kind.near(kind.described(sizes[k], batch.column(3)[k].as_py()), center))
-            yield pa.record_batch([pa.array(groups, pa.int64()), pa.array(nodes, pa.int64()), pa.array(centers, pa.int64()), pa.array(linked, pa.bool_())], ["group", "node", "center", "linked"])
+        yield from _edge_batches(solve(g) for g in _groups(batches, 2))
 
     return run
 
 
-def _links(rows: DataFrame, counts: DataFrame, kind, block: int) -> DataFrame:
-    """Edges (src, dst) that tie each component within a group of `rows` (group,
-    node, c: the group's members, size, body); `counts` has c of every group.
-
-    A group of up to `block` members is judged at once. In a larger one all are
-    held against its smallest member first, so that a group of copies of one
-    text costs each a single test. What does not link with it, if anything, is
-    held in blocks against everything, the rest being known as one component; so
-    no pair is left out, and a member is copied as often as there are blocks of
-    those left over.
-    """
-    dealt = rows.where(F.col("c") <= block).select("group", F.lit(0).cast("long").alias("pair"), "node", "size", "body", F.lit(False).alias("known"))
-    stars = None
-    if not counts.where(F.col("c") > block).isEmpty():
-        large = materialize(rows.where(F.col("c") > block), "large-groups")
-        centers = large.groupBy("group").agg(F.min(F.struct("node", "size", "body")).alias("m")).select("group", F.col("m.node").alias("center"), F.col("m.size").alias("center_size"), F.col("m.body").alias("center_body"))
-        star = large.join(materialize(centers, "centers"), "group").select("group", "node", "size", "body", "center", "center_size", "center_body")
-        star = materialize(star.mapInArrow(_to_centers(kind), "group long, node long, center long, linked boolean").distinct(), "stars")
-        stars = star.where("linked AND node <> center").select(F.col("node").alias("src"), F.col("center").alias("dst"))
-        half = max(1, block // 2)
-        blocks = lambda n: F.ceil(n / half).cast("long")
-        left = materialize(star.groupBy("group").agg(blocks(F.count_if(~F.col("linked"))).alias("left"), blocks(F.count("*")).alias("all")).where("left > 0"), "left-over")
-        mine, pair = F.xxhash64("node"), lambda a, b: a * F.lit(1 << 31) + b
-        upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-        held = F.transform(upto("left"), lambda i: pair(i, F.pmod(mine, F.col("all"))))
-        against = F.transform(upto("all"), lambda j: pair(F.pmod(mine, F.col("left")), j))
-        pairs = F.when(F.col("linked"), held).otherwise(F.array_distinct(F.concat(held, against)))
-        again = star.join(left, "group").select("group", "node", "linked", F.explode(pairs).alias("pair")).join(large.select("group", "node", "size", "body"), ["group", "node"])
-        dealt = dealt.unionByName(again.select("group", "pair", "node", "size", "body", F.col("linked").alias("known")))
-    found = dealt.repartition("group", "pair").sortWithinPartitions("group", "pair").mapInArrow(_link_groups(kind), _EDGES)
-    return found.unionByName(stars) if stars is not None else found
-
-
 def _describe(words: int, lowest: int):
     def run(batches):
         for batch in batches:
@@ -378,6 +282,15 @@ def _describe(words: int, lowest: int):
     return run
 
 
+def _in_blocks(rows: DataFrame, group: str, member: str, count: str, block: int) -> DataFrame:
+    """Adds `pair`, the pair of blocks of a group above `block` members in which
+    a row is compared; each two rows of a group share one."""
+    blocks = F.ceil(F.col(count) / block).cast("int")
+    mine = F.pmod(F.xxhash64(member), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.concat_ws("-", F.least(j, mine), F.greatest(j, mine)))
+    return rows.withColumn("pair", F.explode(F.when(blocks > 1, F.array_distinct(pairs)).otherwise(F.array(F.lit("")))))
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, lowest: int = LOWEST, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text).
 
@@ -399,17 +312,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, lowest: int = LOWEST
 
     keys = heads.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
     met = keys.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("c > 1")
-    buckets = materialize(met.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c"), "shingle-buckets")  # one of the buckets of the same members
-    met = keys.join(buckets, "key").join(heads.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep")
-    near = _links(met.select(F.col("key").alias("group"), F.col("rep").alias("node"), "c", F.col("n").alias("size"), F.col("bits").alias("body")), buckets, Bitmaps(), block)
+    buckets = met.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c")  # one of the buckets of the same members
+    dealt = _in_blocks(keys.join(buckets, "key"), "key", "rep", "c", block)
+    signed = dealt.join(heads.select(F.col("doc_id").alias("rep"), "n", "bits"), "rep").select("key", "pair", "rep", "n", "bits")
+    near = signed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_by_bitmaps, _EDGES)
     candidates = materialize(connected_components(near), "shingle-candidates")
 
-    counts = candidates.groupBy("component").agg(F.count("*").alias("c"))
-    counted = candidates.join(counts, "component")
+    counted = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("c")), "component")
     # merged at every size: a broadcast that small tables get would not last
     held = rows.join(key_filter(candidates, "node"), may_hold("doc_id"), "left_semi").hint("merge")
-    texts = held.join(counted, held.doc_id == F.col("node")).select(F.col("component").alias("group"), "node", "c", F.lit(0).cast("long").alias("size"), F.col("text").cast("binary").alias("body"))
-    joined = connected_components(_links(texts, counts, Texts(words), block))
+    texts = held.join(_in_blocks(counted, "component", "node", "c", block), held.doc_id == F.col("node")).select("component", "pair", "node", "text")
+    links = texts.repartition("component", "pair").sortWithinPartitions("component", "pair").mapInArrow(_by_sets(words), _EDGES)
+    joined = connected_components(links)
 
     named = classes.join(joined, classes.rep == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component"))
     slim = sets.select("doc_id", *same)
