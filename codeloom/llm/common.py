@@ -16,6 +16,9 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 #: Words of 64 bits in a filter of keys: 4 MB, whatever the corpus.
 FILTER = 1 << 19
+#: Bytes of a batch that is sent to a Python worker, and Spark's setting for it.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -23,6 +26,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return shared.materialize(df, name, tidy=True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Send Python workers at most BATCH_BYTES (and a row) at once, unless the
+    session has a bound of its own: Spark's default, 64 MB, is held several times
+    over, in the executor's and the workers' memory beside the heap."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole `documents` table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -18,8 +18,11 @@ import numpy as np
 UNPLAIN = re.compile(r"[ \n][ \n]|[ \n]\Z|\A[ \n]|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
 #: A word of Latin letters (each one code point under NFC) and marks after it.
 LETTERS = re.compile(r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+)([.,!?;:&%$*#|]*)")
-#: Pieces that are remembered at once, and the most characters of one.
-MEMO_PIECES = 1_200_000
+#: Pieces that are remembered at once, and the most characters of one. Half of
+#: them are the older ones, which go together once the younger half is full; those
+#: that were met again meanwhile are young. A worker outlives its tasks and its
+#: memo stays with it, so the bound counts for every later stage as well.
+MEMO_PIECES = 400_000
 MEMO_LENGTH = 64
 
 
@@ -48,6 +51,7 @@ class Encoder:
         self.model, self.letters = self.library.model, _byte_letters()
         self.words_alone = self._whole("a b") == self._whole("a  B")
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
         self.line = b"" if self.words_alone else self._whole("\n")
         size = self.library.get_vocab_size(with_added_tokens=True)
@@ -62,6 +66,18 @@ class Encoder:
         spelled = text.encode().decode("latin-1").translate(self.letters)
         return np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
 
+    def _recall(self, piece: str) -> bytes:
+        """Ids of a piece that may be among the older ones or new."""
+        ids = self.memo.get(piece)
+        if ids is None:
+            if 2 * len(self.memo) + 4 > MEMO_PIECES:  # learning adds a piece and its core
+                self.older, self.memo = self.memo, {}
+            ids = self.older.get(piece)
+            if ids is None:
+                return self._learn(piece)
+            self.memo[piece] = ids
+        return ids
+
     def _learn(self, piece: str) -> bytes:
         memo, marks = self.memo, self.marks
         if len(piece) > MEMO_LENGTH or not (m := LETTERS.fullmatch(piece)):
@@ -72,6 +88,8 @@ class Encoder:
         line, word, after = m.groups()
         core = word.lower() if self.words_alone else line + word
         ids = memo.get(core)
+        if ids is None:
+            ids = memo[core] = self.older.get(core)
         if ids is None:
             ids = memo[core] = self._word(core) if self.words_alone else self.line + self._word(word) if line else self._word(" " + word)
         if after not in marks:
@@ -81,7 +99,6 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        memo = self.memo
         skip = len(self.line)  # the line break put before the text
         for text in texts:
             if not text:
@@ -90,14 +107,12 @@ class Encoder:
                 out.append(self._whole(text))
             else:
                 pieces = text.replace("\n", " ").split(" ") if self.words_alone else ("\n" + text).replace("\n", " \n")[1:].split(" ")
-                ids = list(map(memo.get, pieces))
+                ids = list(map(self.memo.get, pieces))
                 if None in ids:
                     for i, known in enumerate(ids):
                         if known is None:
-                            ids[i] = memo.get(pieces[i]) or self._learn(pieces[i])
+                            ids[i] = self._recall(pieces[i])
                 out.append(b"".join(ids)[skip:])
-                if len(memo) > MEMO_PIECES:
-                    memo.clear()
         return out
 
 

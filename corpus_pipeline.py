@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm.common import documents
+from codeloom.llm.common import bound_batches, documents
 from codeloom.llm.exact_dedup import distinct_rows
 from codeloom.llm.jaccard_join import near_distinct_rows
 from codeloom.llm.mixing import mixed_rows
@@ -26,24 +26,28 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts 1. A null text is judged as
     the empty one, repeated rows alike; a null identifier stays as it is."""
+    bound_batches(spark)
     return accepted_rows(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (null equals empty) one row, with the smallest identifier,
     a null one only where there is no other; of rows that tie, any one."""
+    bound_batches(spark)
     return distinct_rows(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates the row with the smallest identifier, nulls last;
     texts without words stay."""
+    bound_batches(spark)
     return near_distinct_rows(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for; a null source is
     one of its own, texts without words go or stay by the same rate."""
+    bound_batches(spark)
     return mixed_rows(docs)
 
 
@@ -52,6 +56,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     gives the end id alone, repeated rows are packed each."""
     import public_tokenizers
 
+    bound_batches(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 

@@ -8,7 +8,7 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from codeloom.llm import language_id, quality_classifier
+from codeloom.llm import language_id, quality_classifier, tokens
 from codeloom.llm.common import shared_dir
 from codeloom.llm.packing import pack
 from codeloom.llm.token_files import SequenceReader, _place, read_token_files, write_token_files
@@ -27,6 +27,18 @@ def test_encoder_equals_library(name):
     assert coder.encode(texts) == want and coder.encode(texts) == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_memo_is_bounded(name, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 60)
+    rnd = random.Random(2)
+    texts = [" ".join(["often", "Often,"] + ["".join(rnd.choice("abcde") for _ in range(5)) for _ in range(200)]) for _ in range(6)]
+    coder, path = Encoder(public_tokenizers.path(name)), public_tokenizers.path(name)
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for text, ids in zip(texts, want):
+        assert coder.encode([text]) == [ids]
+        assert len(coder.memo) + len(coder.older) <= 60
+
+
 def _ids(name, end, texts):
     library = Tokenizer.from_file(public_tokenizers.path(name))
     return [np.array([*library.encode(t or "", add_special_tokens=False).ids, end], "<u4") for t in texts]

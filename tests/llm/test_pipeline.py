@@ -4,6 +4,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codeloom.llm.common import shared_dir
@@ -62,3 +64,27 @@ def test_stages(spark, tmp_path):
     # unwritten stages hand their rows on in another order, which moves the cuts but not what is packed
     held = lambda rows: (sorted({(r.doc_id, r.doc_tokens) for r in rows}), sum(r.length for r in rows), max(r.sequence_id for r in rows))
     assert held(corpus_pipeline.run(spark, str(tmp_path)).collect()) == held(pieces)
+
+
+def _largest_batch(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["n"])
+
+    texts = spark.range(0, 4000, 1, 1).select(F.expr("repeat(cast(id % 10 AS string), 5000)").alias("text"))
+    return max(r.n for r in texts.mapInArrow(sizes, "n long").collect())
+
+
+def test_stages_bound_the_batches_of_workers(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
+    try:
+        for _, stage in corpus_pipeline.STAGES[1:]:
+            spark.conf.unset(setting)
+            stage(spark, docs, "")
+            assert _largest_batch(spark) < 5 << 20
+        spark.conf.set(setting, str(1 << 20))
+        corpus_pipeline.packing_stage(spark, docs, "")
+        assert spark.conf.get(setting) == str(1 << 20)
+    finally:
+        spark.conf.unset(setting)
