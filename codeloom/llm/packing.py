@@ -28,9 +28,9 @@ ENCODED = "part int, first long, n long, doc_id long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _tokenise(tokenizer: str, end_id: int):
+def _tokenise(tokenizer: str, end_id: int, memo_pieces: int | None):
     def run(batches):
-        coder, part, first = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, first = encoder(tokenizer, memo_pieces), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=coder.dtype).tobytes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -68,19 +68,20 @@ def _cut(window: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", broadcast_parts: int = BROADCAST_PARTS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", broadcast_parts: int = BROADCAST_PARTS, memo_pieces: int | None = None) -> DataFrame:
     """One boundary record for each piece of a document in a sequence.
 
     Sequences hold `window` ids; all are full but the last, which the loader
     pads. A null text is empty and gives the end id alone; rows that repeat an
     identifier are packed each; a null identifier stays null; a long text is cut
     at every window; an empty table gives no piece; other columns are not read,
-    whatever their names.
+    whatever their names. A worker remembers `memo_pieces` pieces of texts at most
+    (None: MEMO_PIECES of tokens.py).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     path = shared_dir(spark, "packed-ids")
-    rows.mapInArrow(_tokenise(tokenizer, end_id), ENCODED).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(_tokenise(tokenizer, end_id, memo_pieces), ENCODED).write.option("compression", "zstd").parquet(path)
     encoded = spark.read.schema(ENCODED).parquet(path)
     totals = encoded.groupBy("part").agg(F.sum("n").alias("total"))
     bases = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))

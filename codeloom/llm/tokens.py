@@ -22,7 +22,7 @@ LETTERS = re.compile(r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u013
 #: them are the older ones, which go together once the younger half is full; those
 #: that were met again meanwhile are young. A worker outlives its tasks and its
 #: memo stays with it, so the bound counts for every later stage as well.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 1_200_000
 MEMO_LENGTH = 64
 
 
@@ -42,7 +42,7 @@ class Encoder:
     space or line break before it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -51,6 +51,7 @@ class Encoder:
         self.model, self.letters = self.library.model, _byte_letters()
         self.words_alone = self._whole("a b") == self._whole("a  B")
         self.memo: dict[str, bytes] = {}
+        self.pieces = pieces or MEMO_PIECES
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
         self.line = b"" if self.words_alone else self._whole("\n")
@@ -70,7 +71,7 @@ class Encoder:
         """Ids of a piece that may be among the older ones or new."""
         ids = self.memo.get(piece)
         if ids is None:
-            if 2 * len(self.memo) + 4 > MEMO_PIECES:  # learning adds a piece and its core
+            if 2 * len(self.memo) + 4 > self.pieces:  # learning adds a piece and its core
                 self.older, self.memo = self.memo, {}
             ids = self.older.get(piece)
             if ids is None:
@@ -116,14 +117,14 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pieces: int | None = None) -> Encoder:
     """The process's encoder for a vocabulary file; its memo outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, pieces) not in _encoders:
+        _encoders[path, pieces] = Encoder(path, pieces)
+    return _encoders[path, pieces]
 
 
 def slices(sizes: list[int], most_rows: int = 400, most_size: int = 4 << 20):

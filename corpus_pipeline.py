@@ -23,6 +23,10 @@ from codeloom.llm.quality_classifier import accepted_rows, train
 ORACLE_SQL = None
 
 
+#: Fewer than op9_pack remembers: here the workers already hold what earlier stages left.
+MEMO_PIECES = 400_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts 1. A null text is judged as
     the empty one, repeated rows alike; a null identifier stays as it is."""
@@ -57,7 +61,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     bound_batches(spark)
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, memo_pieces=MEMO_PIECES)
 
 
 STAGES = [
