@@ -10,12 +10,16 @@ library whole.
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 
 #: Texts with any of these are given to the library whole: white space that the
-#: split patterns treat as a run, and what may be an added token.
-UNPLAIN = re.compile(r"[ \n][ \n]|[ \n]\Z|\A[ \n]|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
+#: split patterns treat as a run, and what may be an added token. Characters are
+#: searched by one class and runs as plain strings: as alternatives of a single
+#: pattern they take longer than all lookups of the text's pieces.
+UNPLAIN = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+UNPLAIN_RUNS = ("  ", " \n", "\n ", "\n\n", "<|")
 #: A word of Latin letters (each one code point under NFC) and marks after it.
 LETTERS = re.compile(r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+)([.,!?;:&%$*#|]*)")
 #: Pieces that are remembered at once, and the most characters of one. Half of
@@ -34,6 +38,22 @@ def _byte_letters() -> str:
     return "".join(chr(b if b in plain else next(free)) for b in range(256))
 
 
+def is_plain(text: str) -> bool:
+    """Whether a text (not the empty one) may be cut at its gaps."""
+    return not (text[0] in " \n" or text[-1] in " \n" or any(run in text for run in UNPLAIN_RUNS) or UNPLAIN.search(text))
+
+
+class Memo(dict):
+    """Ids by piece; a piece that is not held is asked for."""
+
+    def __init__(self, ask):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.ask(piece)
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -50,7 +70,7 @@ class Encoder:
         self.library.no_truncation()
         self.model, self.letters = self.library.model, _byte_letters()
         self.words_alone = self._whole("a b") == self._whole("a  B")
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self._recall)
         self.pieces = pieces or MEMO_PIECES
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
@@ -64,19 +84,20 @@ class Encoder:
 
     def _word(self, text: str) -> bytes:
         """Ids by the library's merges alone, for what its split leaves whole."""
-        spelled = text.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+        spelled = text.replace(" ", self.letters[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _recall(self, piece: str) -> bytes:
-        """Ids of a piece that may be among the older ones or new."""
-        ids = self.memo.get(piece)
+        """Ids of a piece that is among the older ones or new."""
+        if 2 * len(self.memo) + 4 > self.pieces:  # learning adds a piece and its core
+            self.older.clear()
+            self.older.update(self.memo)
+            self.memo.clear()  # the same object: lookups of a text may be under way
+        ids = self.older.get(piece)
         if ids is None:
-            if 2 * len(self.memo) + 4 > self.pieces:  # learning adds a piece and its core
-                self.older, self.memo = self.memo, {}
-            ids = self.older.get(piece)
-            if ids is None:
-                return self._learn(piece)
-            self.memo[piece] = ids
+            return self._learn(piece)
+        self.memo[piece] = ids
         return ids
 
     def _learn(self, piece: str) -> bytes:
@@ -88,11 +109,10 @@ class Encoder:
             return ids
         line, word, after = m.groups()
         core = word.lower() if self.words_alone else line + word
-        ids = memo.get(core)
-        if ids is None:
-            ids = memo[core] = self.older.get(core)
+        ids = None if core == piece else memo.get(core) or self.older.get(core)
         if ids is None:
-            ids = memo[core] = self._word(core) if self.words_alone else self.line + self._word(word) if line else self._word(" " + word)
+            ids = self._word(core) if self.words_alone else self.line + self._word(word) if line else self._word(" " + word)
+        memo[core] = ids
         if after not in marks:
             marks[after] = self._whole(after)
         memo[piece] = ids = ids + marks[after]
@@ -100,20 +120,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        skip = len(self.line)  # the line break put before the text
+        skip, ids_of = len(self.line), self.memo.__getitem__  # the line break put before the text
         for text in texts:
             if not text:
                 out.append(b"")
-            elif UNPLAIN.search(text):
+            elif not is_plain(text):
                 out.append(self._whole(text))
             else:
                 pieces = text.replace("\n", " ").split(" ") if self.words_alone else ("\n" + text).replace("\n", " \n")[1:].split(" ")
-                ids = list(map(self.memo.get, pieces))
-                if None in ids:
-                    for i, known in enumerate(ids):
-                        if known is None:
-                            ids[i] = self._recall(pieces[i])
-                out.append(b"".join(ids)[skip:])
+                out.append(b"".join(map(ids_of, pieces))[skip:])
         return out
 
 

@@ -1,6 +1,7 @@
 """op2 and op4 by held-out accuracy; op5 and op9 by exact round trips."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -39,6 +40,39 @@ def test_memo_is_bounded(name, monkeypatch):
         assert len(coder.memo) + len(coder.older) <= 60
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_white_space_at_every_place(name):
+    """Whatever the characters and their places, a text that is cut has the library's ids."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(" \n  ab,|<\t\r\x0b\x1c\x85\xa0\u2003\u2028\u3000\ufeff") for _ in range(rnd.randint(1, 7))) for _ in range(6000)]
+    texts += [a + "ab" + b + "cd" + c for a in ("", " ", "\n") for b in (" ", "\n", "  ", " \n", "\n ", "\n\n", "<|") for c in ("", " ", "\n")]
+    path = public_tokenizers.path(name)
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    coder = Encoder(path)
+    assert coder.encode(texts) == want and coder.encode(texts) == want
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_known_pieces_cost_little(name):
+    """Encoding texts of known pieces takes a few times as long as cutting and looking them up."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(1000)]
+    texts = [" ".join(rnd.choices(words, k=40000)) for _ in range(10)]
+    coder, known = Encoder(public_tokenizers.path(name)), dict.fromkeys(words, b"1234")
+
+    def seconds(run):
+        best = []
+        for _ in range(7):
+            began = time.process_time()
+            run()
+            best.append(time.process_time() - began)
+        return min(best)
+
+    coder.encode(texts)
+    plain = seconds(lambda: [b"".join(map(known.get, t.replace("\n", " ").split(" "))) for t in texts])
+    assert seconds(lambda: coder.encode(texts)) < 3 * plain
+
+
 def _ids(name, end, texts):
     library = Tokenizer.from_file(public_tokenizers.path(name))
     return [np.array([*library.encode(t or "", add_special_tokens=False).ids, end], "<u4") for t in texts]
